@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import chat, decontaminate, langid, mixing, quality, secrets, simhash, warc
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_secrets": secrets.op3_secrets,
+    "op4_language_id": langid.op4_language_id,
     "op5_mixing": mixing.op5_mixing,
+    "op6_quality": quality.op6_quality,
+    "op7_warc": warc.op7_warc,
     "op8_simhash": simhash.op8_simhash,
+    "op9_chat": chat.op9_chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": decontaminate.OP2_SQL,
+    "op3_secrets": secrets.OP3_SQL,
+    "op7_warc": warc.OP7_SQL,
+    "op9_chat": chat.OP9_SQL,
+}

@@ -263,6 +263,20 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, seed: int =
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, size: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+    """The document with the smallest doc_id of each component, with all its columns.
+
+    Rows that repeat a kept doc_id and text are one. Rows without a doc_id stay
+    only where no row of their component has one, one for each text.
+    """
+    found = common.cut(near_duplicates(docs, size, radius, seed))
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).count()
+    out = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    if keep.where("count > 1").isEmpty():
+        return out
+    return out.dropDuplicates(["doc_id", "text"])
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
