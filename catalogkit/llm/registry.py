@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, mixing, quality, secrets, simhash, warc
+from . import chat, decontaminate, langid, media, mixing, quality, secrets, simhash, suffixes, warc
 
 QUERIES = {
+    "op1_media": media.op1_media,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_secrets": secrets.op3_secrets,
     "op4_language_id": langid.op4_language_id,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_warc": warc.op7_warc,
     "op8_simhash": simhash.op8_simhash,
     "op9_chat": chat.op9_chat,
+    "op10_suffixes": suffixes.op10_suffixes,
 }
 
 ORACLES: dict[str, str] = {
