@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once; a batch of long texts is cut into slices of about this size.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:

@@ -71,7 +71,7 @@ def _trigrams(batch: pa.RecordBatch, column: str, markup: bool) -> tuple[np.ndar
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
     a, b, c = low[:-2], low[1:-1], low[2:]
     code = (a.astype(np.int32) * 2039 + b.astype(np.int32) * 127 + c) * 40503 >> 3 & (BUCKETS - 1)
-    row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    row = np.repeat(np.arange(len(edges) - 1, dtype=np.int32), np.diff(edges))
     inside = (row[2:] == row[:-2]) & ((a != 32) | (b != 32)) & ((b != 32) | (c != 32))
     return code[inside], row[:-2][inside]
 
@@ -225,13 +225,14 @@ def keep_identified(docs: DataFrame, least: float = LEAST, per_language: int = S
     The declared language is ``lang``, the host is ``source``. Texts without a
     letter are rejected. Every column stays, in its order.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row")).select(
-        "row", F.coalesce("row.text", F.lit("")).alias("text"), F.col("row.lang").alias("declared"),
-        F.col("row.source").alias("host"), F.lit(None).cast("string").alias("suffix"),
-    )
+    others = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    rows = docs.select(
+        others, "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix")
+    )
     out = Evidence(rows.drop("row"), False, per_language).apply(rows)
     kept = out.where((F.col("id_confidence") >= least) & F.col("text").rlike(r"\p{L}"))
-    return kept.select(*[(F.col("id_lang") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])
+    own = {"lang": F.col("id_lang"), "text": F.col("text")}
+    return kept.select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
