@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import helpers as H
 from ..functions import names as N
 from ..functions.constants import RELEASE_TOKENS
+from .settle import settle
 
 FUZZY_CUTOFF, CONTAINED_SHARE = 0.82, 0.5
 
@@ -26,6 +27,8 @@ def season_counts(catalogue: DataFrame) -> DataFrame:
 
 def keyed(catalogue: DataFrame) -> DataFrame:
     """The catalogue with its match keys: key of the title, base and part number of its marker."""
+    if {"key", "base", "part"} <= set(catalogue.columns):
+        return catalogue
     marker = N.parse_marker(F.col("title"))
     return catalogue.withColumns({"key": N.match_key(F.col("title")), "base": N.match_key(marker["base"]), "part": marker["number"]})
 
@@ -162,14 +165,15 @@ def match_episodes(files: DataFrame, catalogue: DataFrame, cutoff: float = FUZZY
     raw, cut at the first release token, and without tokens; then contained
     titles, then similar ones. What an earlier step settles leaves the rest.
     """
-    title = N.title_from_filename(F.col("path"))
-    probes = files.withColumn("own", title).select(
+    catalogue = settle(keyed(catalogue))
+    files = settle(files.withColumn("own", N.title_from_filename(F.col("path"))))
+    probes = files.select(
         "file_id", "show", "season", "first", F.posexplode(F.array("own", "segment_title", N.without_show(F.col("own"), F.col("show")))).alias("place", "raw")
     ).where("raw is not null")
     clean = F.regexp_replace(F.regexp_replace(F.col("raw"), rf"(?i)\b(?:{RELEASE_TOKENS})\b", " "), "^[ ._-]+|[ ._-]+$", "")
     forms = F.posexplode(F.array("raw", N.cut_release_fields(F.col("raw")), clean)).alias("form", "text")
     texts = probes.select("file_id", "show", "season", "first", "place", forms).where("text <> ''")
-    texts = texts.withColumn("probe_id", F.col("file_id") * 16 + F.col("place") * 4 + F.col("form"))
+    texts = settle(texts.withColumn("probe_id", F.col("file_id") * 16 + F.col("place") * 4 + F.col("form")))
     order = F.col("probe_id")
     exact = match_exact(texts, catalogue).where("hit is not null").select("file_id", F.struct(order.alias("o"), "hit", F.lit("exact").alias("method"), F.lit(1.0).alias("score")).alias("m"))
     last = texts.where("form = 2")
@@ -183,7 +187,7 @@ def match_episodes(files: DataFrame, catalogue: DataFrame, cutoff: float = FUZZY
     # a refused hit wins if nothing else did and the listed title of the own number shares no word
     listed = catalogue.select("show", "season", F.col("episode").alias("first"), F.col("title").alias("listed"))
     refused = held.where("not accepted").groupBy("file_id").agg(F.min_by("m", F.col("m.o")).alias("refused"))
-    out = files.withColumn("own", title).join(best, "file_id", "left").join(refused, "file_id", "left").join(_first(listed, ["show", "season", "first"], ["listed"]), ["show", "season", "first"], "left")
+    out = files.join(best, "file_id", "left").join(refused, "file_id", "left").join(_first(listed, ["show", "season", "first"], ["listed"]), ["show", "season", "first"], "left")
     apart = F.col("listed").isNotNull() & (F.size(F.filter(shared_words(F.col("listed"), F.col("own")), lambda w: w != "")) == 0)
     chosen = F.coalesce(F.col("m"), F.when(apart, F.col("refused")))
     return out.select("file_id", chosen["hit"].alias("hit"), F.coalesce(chosen["method"], F.lit("none")).alias("method"), F.coalesce(chosen["score"], F.lit(0.0)).alias("score"))
@@ -191,7 +195,7 @@ def match_episodes(files: DataFrame, catalogue: DataFrame, cutoff: float = FUZZY
 
 def identify_tv(files: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Title match, else number, then range, with the method and its score."""
-    matched = match_episodes(files, catalogue)
+    matched = settle(match_episodes(files, catalogue))
     numbers = match_number(files.select("file_id", "show", "season", "first", "weak"), catalogue).withColumnsRenamed({"hit": "n_hit", "method": "n_method"})
     both = matched.join(numbers, "file_id", "left").join(files.select("file_id", "show", "first", "last", "duration_s"), "file_id")
     hit = F.coalesce("hit", "n_hit")

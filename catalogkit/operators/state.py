@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import figures as G
 from ..functions import names as N
 from ..functions.constants import COMPLETE, PIPELINE, STAGE_LABELS, STOPPED
+from .settle import settle
 
 
 def dense_rank_by(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -18,7 +19,7 @@ def dense_rank_by(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """
     spark = df.sparkSession
     ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    ranged = ranged.persist() if spark.sparkContext.getCheckpointDir() is None else ranged.checkpoint()
+    ranged = settle(ranged)
     counts = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())
     shifts, before = [], 0
     for part, n in counts:

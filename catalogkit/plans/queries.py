@@ -107,7 +107,7 @@ def p16(spark, d):
 @query(
     "p17_report_values",
     f"""SELECT file_id, CAST(round_even(NULLIF(bitrate, 0) / 1000.0, 0) AS BIGINT) AS kbps, CAST(round_even(({WEIGHTED}) / 1000.0, 0) AS BIGINT) AS weighted_kbps,
-  round(NULLIF(bitrate, 0) / (CAST(width * sar AS BIGINT) * height * frame_rate), 3) AS bpp, round(NULLIF(duration_s, 0) / 60.0, 1) AS runtime_min, round(size_bytes / 1e9, 2) AS gb,
+  CAST(round(CAST(NULLIF(bitrate, 0) / (CAST(width * sar AS BIGINT) * height * frame_rate) AS DECIMAL(38,12)), 3) AS DOUBLE) AS bpp, round(NULLIF(duration_s, 0) / 60.0, 1) AS runtime_min, CAST(round(CAST(size_bytes / 1e9 AS DECIMAL(38,12)), 2) AS DOUBLE) AS gb,
   abs(frame_rate - 25.0) <= 0.01 AND height IN (576, 288) AS pal_speedup FROM v_file""",
 )
 def p17(spark, d):
