@@ -30,6 +30,16 @@ def attributes(files: DataFrame, tracks: DataFrame) -> DataFrame:
     return df.join(tracks_ops.track_counters(tracks), "file_id", "left")
 
 
+def with_efficiency(files: DataFrame, table: DataFrame) -> DataFrame:
+    """The efficiency of each file's codec (codec, efficiency); 1 for a codec that is not listed.
+
+    The table holds one row per codec, so it is broadcast.
+    """
+    t = table.select(F.lower("codec").alias("_codec"), F.col("efficiency").alias("_efficiency"))
+    out = files.join(F.broadcast(t), F.lower("codec") == F.col("_codec"), "left")
+    return out.withColumn("efficiency", F.coalesce("_efficiency", F.lit(1.0))).drop("_codec", "_efficiency")
+
+
 def with_crop(attrs: DataFrame, crops: DataFrame) -> DataFrame:
     """picture_pixels, letterbox_px and variable_aspect out of crop figures (file_id, picture_pixels, bars_px, secondary)."""
     c = crops.select("file_id", F.col("picture_pixels").alias("c_pixels"), F.col("bars_px").alias("c_bars"), G.variable_aspect(F.col("secondary")).alias("variable_aspect"))

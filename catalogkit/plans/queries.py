@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import figures as G
 from ..functions import names as N
+from ..functions.constants import CODEC_EFFICIENCY
 from ..operators import audit, compare, crops, episodes, resolve, rules, standards, state, tracks, verify
+from ..sources import readers
 from ..streaming import jobs
 from .adapters import view, with_views
 
@@ -176,6 +178,58 @@ def f42(spark, d):
     return f.join(nxt, "file_id").select("file_id", G.tolerance_vote(F.col("bitrate"), F.col("b"), 0.25).alias("differs"))
 
 
+@query("j8_with_efficiency", f"SELECT file_id, round(CAST({EFFICIENCY} AS DOUBLE), 3) AS efficiency FROM v_file")
+def j8(spark, d):
+    table = spark.createDataFrame(list(CODEC_EFFICIENCY.items()), "codec string, efficiency double")
+    return standards.with_efficiency(_files(spark, d), table).select("file_id", F.round("efficiency", 3).alias("efficiency"))
+
+
+@query("j22_with_overrides", "SELECT file_id, CASE WHEN season = 2 THEN true END AS film FROM v_file")
+def j22(spark, d):
+    files = _files(spark, d).select("file_id", F.concat_ws("/", F.lit("lib"), "show", F.col("season").cast("string"), F.lit("x.mkv")).alias("path"))
+    bodies = files.where("path like '%/2/x.mkv'").select(F.regexp_replace("path", "x.mkv$", "a.job").alias("path"), F.lit("film=yes").alias("body")).distinct()
+    return readers.with_overrides(files, readers.parse_sidecars(bodies)).select("file_id", "film")
+
+
+@query("p67_encoder_params", f"SELECT file_id, CASE WHEN codec IN ('hevc', 'h265', 'av1') OR {CLASS} = 'SD' THEN '' ELSE 'cpu: libx265 x265_preset=slow x265_crf=18' END AS summary FROM v_file")
+def p67(spark, d):
+    files = _files(spark, d).withColumns({"display_width": F.col("width") * F.col("sar"), "display_height": F.col("height"), "grainy": F.lit(False)})
+    out = crops.encoder_params(crops.route(files), {"x265_preset": "slow", "x265_crf": 18}, ("x265_preset", "x265_crf"))
+    return out.select("file_id", F.array_join("summaries", "; ").alias("summary"))
+
+
+@query("p71_remux_check", "SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 'chapters lost' WHEN file_id % 3 = 1 THEN 'packets lost' ELSE '' END AS problems FROM v_file")
+def p71(spark, d):
+    f = _files(spark, d).select("file_id", F.when(F.col("file_id") % 3 == 0, "mp4").when(F.col("file_id") % 3 == 1, "avi").otherwise("mkv").alias("format"))
+    pairs = f.select("*", *[F.lit(v).alias(k) for k, v in (("src_chapters", 5), ("out_chapters", 4), ("src_packets", 9), ("out_packets", 8), ("src_duration_s", 1.0), ("out_duration_s", 1.0))])
+    return verify.remux_check(pairs).select("file_id", F.array_join("problems", ",").alias("problems"))
+
+
+@query("p70_movie_ladder")
+def p70(spark, d):
+    n = view(spark, d, "v_name").select(F.col("name_id").alias("title_id"), F.concat(F.lit("lib/"), "name", F.lit("/file.mkv")).alias("path"), "name")
+    none = F.lit(None).cast("string")
+    rows = n.withColumns({"origin": none, "tag_tmdb": none, "tag_imdb": none, "tag_title": F.col("name"), "tag_year": F.lit(None).cast("int"), "segment_title": none})
+    return resolve.movie_ladder(rows).select("title_id", "place", "rung", "by_id", F.size("readings").alias("n_readings"))
+
+
+@query("j16_link_imports", "SELECT f.path, t.id AS linked_id FROM v_finding f LEFT JOIN v_title t ON f.path = 'lib/Brand#' || t.id")
+def j16(spark, d):
+    t = view(spark, d, "v_title").select("id", F.concat(F.lit("lib/Brand#"), F.col("id").cast("string")).alias("source_path"))
+    f = view(spark, d, "v_finding").select("path", F.col("path").alias("import_path"), F.lit(None).cast("long").alias("imported_title_id"))
+    return state.link_imports(t, f).select("path", "linked_id")
+
+
+@query("w16_title_by_job", "SELECT 'job ' || (id % 50) AS job_id, max(id) AS id FROM v_title GROUP BY 1")
+def w16(spark, d):
+    return state.title_by_job(view(spark, d, "v_title").withColumn("job_id", F.concat(F.lit("job "), (F.col("id") % 50).cast("string"))))
+
+
+@query("a19_poster_urls", "SELECT DISTINCT 'u/' || (id % 40) AS poster_url FROM v_title")
+def a19(spark, d):
+    return state.poster_urls(view(spark, d, "v_title").withColumn("poster_url", F.concat(F.lit("u/"), (F.col("id") % 40).cast("string"))))
+
+
 # Tracks
 
 @query(
