@@ -122,16 +122,20 @@ def continuous_audit(listing: DataFrame, findings_path: str, assess: Callable[[D
     current, so a failed batch leaves the last version whole.
     """
 
+    log = f"{findings_path}/current"
+    listing.sparkSession.createDataFrame([], "version long").write.mode("append").json(log)
+
     def upsert(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        versions = spark.read.schema("version long").json(f"{findings_path}/current")
-        now = versions.agg(F.max("version")).first()[0]
+        now = spark.read.schema("version long").json(log).agg(F.max("version")).first()[0]
+        if now is not None and now > epoch:  # a repeated batch is already in
+            return
         stored = spark.read.parquet(f"{findings_path}/v{now}") if now is not None else None
         fresh = batch if stored is None else audit.unseen_files(batch, stored)
         changes = assess(fresh)
         whole = changes if stored is None else audit.upsert_by_key(stored, changes, "path")
         whole.write.mode("overwrite").parquet(f"{findings_path}/v{epoch + 1}")
-        spark.range(1).select(F.lit(epoch + 1).cast("long").alias("version")).write.mode("append").json(f"{findings_path}/current")
+        spark.range(1).select(F.lit(epoch + 1).cast("long").alias("version")).write.mode("append").json(log)
 
     return listing.writeStream.option("checkpointLocation", checkpoint).foreachBatch(upsert).start()
 

@@ -163,3 +163,35 @@ def test_progress_stream_equals_batch(spark, tmp_path):
     got = run(jobs.encode_progress(spark.readStream.schema(df.schema).parquet(str(tmp_path / "e"))), "progress", "update")
     want = sorted(map(tuple, jobs.progress_blocks(df).collect()))
     assert want[0] == (1, 60, 5.0, 10, "continue") and sorted(map(tuple, got.collect())) == want
+
+
+def test_continuous_audit(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "path string, size long, mtime double")
+    source, seen = str(tmp_path / "listing"), []
+
+    def assess(files):
+        seen.append(files.count())
+        return files.withColumns({"measured": F.lit(True), "checks_json": F.lit("[]")})
+
+    def step(more):
+        more.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(more.schema).parquet(source)
+        jobs.continuous_audit(stream, str(tmp_path / "findings"), assess, str(tmp_path / "checkpoint")).processAllAvailable()
+        for q in spark.streams.active:
+            q.stop()
+
+    step(rows(("a", 1, 1.0), ("b", 1, 1.0)))
+    step(rows(("a", 1, 1.0), ("b", 2, 2.0), ("c", 1, 1.0)))
+    assert seen == [2, 2]
+    now = spark.read.schema("version long").json(str(tmp_path / "findings/current")).agg(F.max("version")).first()[0]
+    found = spark.read.parquet(str(tmp_path / f"findings/v{now}"))
+    assert sorted((r.path, r.size) for r in found.collect()) == [("a", 1), ("b", 2), ("c", 1)]
+
+
+def test_retry_timers(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", "2024-01-01 00:05:00"), (1, "2024-01-01 00:01:00", "2024-01-01 00:10:00"), (2, "2024-01-01 00:00:00", "2024-01-01 02:00:00"), (3, "2024-01-01 01:00:00", "2024-01-03 00:00:00")]
+    df = spark.createDataFrame(rows, "title_id long, a string, r string").select("title_id", F.to_timestamp("a").alias("at"), F.to_timestamp("r").alias("retry_after"))
+    df.coalesce(1).write.parquet(str(tmp_path / "h"))
+    got = run(jobs.retry_timers(spark.readStream.schema(df.schema).parquet(str(tmp_path / "h"))), "due")
+    assert [r.title_id for r in got.collect()] == [1]
+    assert [r.title_id for r in jobs.due_holds(df, F.lit("2024-01-01 01:00:00").cast("timestamp")).collect()] == [1]
