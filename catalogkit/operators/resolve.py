@@ -56,38 +56,70 @@ def spells_initials(words: Column, names: Column) -> Column:
     return (F.size(words) > 0) & F.forall(words, lambda w: F.exists(split, lambda o: _initial_runs(w, o).isNotNull()))
 
 
+def pair_scores(distinct: DataFrame) -> DataFrame:
+    """pairs (wanted, name) with the better score of the name and its expansion."""
+    distinct = distinct.withColumn("as_run", expand_initials(F.col("wanted"), F.col("name")))
+    own = name_score(F.col("wanted"), F.col("wanted"), F.col("name"))
+    as_run = F.when(F.col("as_run").isNotNull(), name_score(F.col("as_run"), F.col("as_run"), F.col("name")))
+    return distinct.withColumn("score", F.greatest(own, F.coalesce(as_run, F.lit(0.0))))
+
+
 def candidate_score(pairs: DataFrame, names: DataFrame) -> DataFrame:
     """the best score of (title_id, wanted, tmdb) over the entity's names, and its expansions.
 
     Equal (wanted, name) pairs are scored once.
     """
     joined = pairs.join(names.select("tmdb", "name"), "tmdb")
-    distinct = joined.select("wanted", "name").distinct()
-    distinct = distinct.withColumn("as_run", expand_initials(F.col("wanted"), F.col("name")))
-    own = name_score(F.col("wanted"), F.col("wanted"), F.col("name"))
-    as_run = F.when(F.col("as_run").isNotNull(), name_score(F.col("as_run"), F.col("as_run"), F.col("name")))
-    scored = distinct.withColumn("score", F.greatest(own, F.coalesce(as_run, F.lit(0.0))))
+    scored = pair_scores(joined.select("wanted", "name").distinct())
     return joined.join(scored, ["wanted", "name"]).groupBy("title_id", "wanted", "tmdb").agg(F.max("score").alias("score"))
 
 
-def search_candidates(readings: DataFrame, names: DataFrame, k: int = SEARCH_LIMIT, stop_share: float = 0.02) -> DataFrame:
+def _words(key: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(key, " ")), lambda w: w != "")
+
+
+def search_candidates(readings: DataFrame, names: DataFrame, k: int = SEARCH_LIMIT) -> DataFrame:
     """At most ``k`` entities per reading (title_id, name) that share words with it.
 
-    Words held by over ``stop_share`` of the names say little and are left out of
-    the join; names of such words only are met by their whole key. Equal keys
+    Every word counts, however frequent: distinct sets of words meet, not rows,
+    and of entities with equal words the first ``k`` stand for all. Equal keys
     come first, so no equal name is lost.
     """
-    tokens = lambda df, ids: df.select(*ids, F.explode(F.array_distinct(F.split(N.match_key(F.col("name")), " "))).alias("token"))
-    by_name = tokens(names, ["tmdb"]).where("token <> ''").distinct()
-    total = names.select("tmdb").distinct().count()
-    common = by_name.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > max(50, total * stop_share)).select("token")
-    rare = by_name.join(common, "token", "left_anti")
-    asked = tokens(readings, ["title_id", "name"]).where("token <> ''")
-    shared = asked.join(rare, "token").groupBy("title_id", "name", "tmdb").agg(F.count("*").alias("shared"))
     keyed = names.select("tmdb", N.match_key(F.col("name")).alias("key")).distinct()
-    same = readings.select("title_id", "name", N.match_key(F.col("name")).alias("key")).join(keyed, "key").select("title_id", "name", "tmdb", F.lit(1 << 20).cast("long").alias("shared"))
-    both = shared.unionByName(same).groupBy("title_id", "name", "tmdb").agg(F.max("shared").alias("shared"))
-    return top_k(both, ["title_id", "name"], [F.desc("shared"), F.asc("tmdb")], k)
+    wanted = readings.select("title_id", "name", N.match_key(F.col("name")).alias("key")).distinct()
+    keys = wanted.select("key").distinct()
+    bags = keyed.withColumn("word", F.explode(_words(F.col("key")))).groupBy("tmdb").agg(F.array_sort(F.collect_set("word")).alias("bag"))
+    first = top_k(bags, ["bag"], [F.asc("tmdb")], k).drop("rank")
+    shared = keys.withColumn("word", F.explode(_words(F.col("key")))).join(bags.select("bag").distinct().withColumn("word", F.explode("bag")), "word").groupBy("key", "bag").agg(F.count("*").alias("shared"))
+    equal = top_k(keyed, ["key"], [F.asc("tmdb")], k).select("tmdb", "key", F.lit(1 << 20).cast("long").alias("shared"))
+    found = shared.join(first, "bag").select("tmdb", "key", "shared").unionByName(keys.join(equal, "key").select("tmdb", "key", "shared"))
+    best = top_k(found.groupBy("key", "tmdb").agg(F.max("shared").alias("shared")), ["key"], [F.desc("shared"), F.asc("tmdb")], k)
+    return wanted.join(best, "key").select("title_id", "name", "tmdb", "shared", "rank")
+
+
+def scored_candidates(readings: DataFrame, names: DataFrame, k: int = SEARCH_LIMIT, cutoff: float = NAME_CUTOFF) -> DataFrame:
+    """(title_id, wanted, tmdb, score): the ``k`` best entities of each reading that share a word or key with it.
+
+    All distinct pairs of names that share a word are scored before any is left
+    out. If ``readings`` has name_year and ``names`` entity_year, only accepted
+    years take a place among the ``k``.
+    """
+    dated = "name_year" in readings.columns and "entity_year" in names.columns
+    asked, told = (["name_year"], ["entity_year"]) if dated else ([], [])
+    left = readings.select(F.col("name").alias("wanted")).distinct().withColumn("key", N.match_key(F.col("wanted")))
+    right = names.select("name").distinct().withColumn("key", N.match_key(F.col("name")))
+    by_word = left.withColumn("word", F.explode(_words(F.col("key")))).drop("key").join(right.withColumn("word", F.explode(_words(F.col("key")))).drop("key"), "word")
+    pairs = by_word.select("wanted", "name").unionByName(left.join(right, "key").select("wanted", "name")).distinct()
+    good = pair_scores(pairs).where(F.col("score") >= cutoff).select("wanted", "name", "score")
+    first = top_k(names.select("tmdb", "name", *told).distinct(), ["name", *told], [F.asc("tmdb")], k).drop("rank")
+    met = readings.select(F.col("name").alias("wanted"), *asked).distinct().join(good, "wanted").join(first, "name")
+    if dated:
+        met = met.where(G.year_accepted(F.col("entity_year"), F.col("name_year"), F.lit(False)))
+    else:
+        met = met.withColumn("name_year", F.lit(None).cast("int"))
+    best = top_k(met.groupBy("wanted", "name_year", "tmdb").agg(F.max("score").alias("score")), ["wanted", "name_year"], [F.desc("score"), F.asc("tmdb")], k)
+    rows = readings.select("title_id", F.col("name").alias("w"), (F.col("name_year") if dated else F.lit(None).cast("int")).alias("y")).distinct()
+    return rows.join(best, (F.col("w") == F.col("wanted")) & F.col("y").eqNullSafe(F.col("name_year"))).select("title_id", "wanted", "tmdb", "score")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -216,8 +248,7 @@ def search_with_retries(readings: DataFrame, names: DataFrame, words: DataFrame)
     """
 
     def found(rows: DataFrame, step: int) -> DataFrame:
-        hits = candidate_score(search_candidates(rows.select("title_id", "name").distinct(), names).select("title_id", F.col("name").alias("wanted"), "tmdb"), names)
-        return hits.where(F.col("score") >= NAME_CUTOFF).select("title_id", "tmdb", "wanted", "score", F.lit(step).alias("step"))
+        return scored_candidates(rows.select("title_id", "name"), names).select("title_id", "tmdb", "wanted", "score", F.lit(step).alias("step"))
 
     first = found(readings, 1)
     rest = readings.join(first.select("title_id").distinct(), "title_id", "left_anti")

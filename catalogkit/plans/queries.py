@@ -882,7 +882,8 @@ def j15(spark, d):
 def w10(spark, d):
     reads = _files(spark, d).where("kind = 'movie'").select(F.col("file_id").alias("title_id"), F.col("title").alias("name"), F.col("year").alias("name_year"))
     names = _entity_names(spark, d)
-    hits = resolve.candidate_score(resolve.search_candidates(reads.select("title_id", "name"), names).select("title_id", F.col("name").alias("wanted"), "tmdb"), names)
+    dated = names.join(_entities(spark, d).select("tmdb", F.col("year").alias("entity_year")), "tmdb")
+    hits = resolve.scored_candidates(reads, dated)
     scored = hits.join(_entities(spark, d).select("tmdb", F.col("year").alias("entity_year")), "tmdb").join(reads.select("title_id", "name_year"), "title_id")
     return resolve.top_candidates(scored.withColumns({"complete": F.lit(True), "pinned": F.lit(False)})).select("title_id", "tmdb", F.round("score", 6).alias("score"), "tied")
 
