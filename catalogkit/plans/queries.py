@@ -738,6 +738,12 @@ def f19(spark, d):
     return p.select("name_id", *[F.col(f"p.{c}").cast("long").alias(c) for c in ("season", "first", "last")])
 
 
+@query("f19_parse_episode_all")
+def f19_all(spark, d):
+    p = view(spark, d, "v_name").withColumn("p", N.parse_episode(F.col("name")))
+    return p.select("name_id", *[F.col(f"p.{c}").cast("long").alias(c) for c in ("season", "first", "last")])
+
+
 @query("f14_edition")
 def f14(spark, d):
     return view(spark, d, "v_name").select("name_id", N.edition_from_name(F.col("name")).alias("edition"), N.strip_edition(F.col("name")).alias("without"))
@@ -916,6 +922,19 @@ def j2(spark, d):
     return resolve.movie_incumbents(ids, n.select("folder"), files).select("title_id", "folder", "by")
 
 
+@query("j2_movie_incumbents_all")
+def j2_all(spark, d):
+    n = view(spark, d, "v_name").select("name_id", F.col("name").alias("folder"))
+    i, none = F.col("name_id"), F.lit(None).cast("string")
+    tmdb = F.when(i % 5 == 0, i.cast("string")).when(i % 5 == 2, "0").when(i % 5 == 3, "0")
+    imdb = F.when(i % 5 == 1, F.concat(F.lit("TT"), (i + 1000000).cast("string"))).when(i % 5 == 2, F.concat(F.lit("tt"), (i + 1000000).cast("string"))).otherwise(none)
+    v = _files(spark, d).select(F.col("file_id").alias("name_id"), "title", "year")
+    # by five: tmdb; imdb; imdb of a folder with another tmdb; another tmdb only; no id, only the name
+    ids = n.join(v, "name_id").select(i.alias("title_id"), "title", "year", tmdb.alias("tmdb"), imdb.alias("imdb"))
+    files = n.select("folder", F.concat("folder", F.lit(".mkv")).alias("name"))
+    return resolve.movie_incumbents(ids, n.select("folder"), files).select("title_id", "folder", "by")
+
+
 @query("f32_trailing_drops")
 def f32(spark, d):
     return resolve.trailing_drops(_files(spark, d).select(F.col("file_id").alias("title_id"), F.col("title").alias("name"), "year"))
@@ -978,6 +997,11 @@ def p32(spark, d):
     return view(spark, d, "v_name").where("name_id % 6 <> 4").select("name_id", audit.component_check(F.col("name"), F.lit("movie"))["ok"].alias("ok"))
 
 
+@query("p32_component_check_all")
+def p32_all(spark, d):
+    return view(spark, d, "v_name").select("name_id", audit.component_check(F.col("name"), F.lit("movie"))["ok"].alias("ok"))
+
+
 # Streams' batch twins
 
 @query("w9_stable_polls", "SELECT event_id FROM (SELECT event_id, size, quiet_s, lag(size) OVER (PARTITION BY path ORDER BY polled_at, event_id) AS b FROM v_poll) WHERE quiet_s >= 30 AND b = size")
