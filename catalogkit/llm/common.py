@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -20,17 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.
+    """The folder that all executors share, as named in ``spark.checkpoint.dir``.
 
-    It is the one named in ``spark.checkpoint.dir``; only a session without
-    that setting (a local test) gets a temporary one.
+    Only a local session (one machine, as in tests) may go without that setting
+    and gets a folder of its own; on a cluster its absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "catalogkit-checkpoints"))
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="catalogkit-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
@@ -63,3 +64,8 @@ def small_or_not(dim: DataFrame, rows: int | None = None) -> DataFrame:
 def lower_ascii(c):
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, UPPER.lower())
+
+
+def token() -> str:
+    """A name for what one call shares with the executors."""
+    return uuid.uuid4().hex

@@ -35,7 +35,7 @@ def test_decontamination(spark, docs_of):
     a = " ".join(f"ALPHA{i}," for i in range(20))
     rows = [(20, "start " + a + " end"), (21, a[:120]), (22, "A short--item é short item"), (23, "again " * 40), (24, "shorts item")] + EDGES
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for most in (4_000_000, 600):
+    for most in (4_000_000, 200, 60):
         got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r["items"]) for r in decontaminate.find(docs_of(rows), bench, most=most).collect())
         assert got == sorted((i is None, i or 0, *plain_hits(t, ITEMS)) for i, t in rows)
     spans = {r.doc_id: r.spans for r in decontaminate.find(docs_of(rows), bench).collect()}
@@ -45,6 +45,37 @@ def test_decontamination(spark, docs_of):
     assert 20 not in kept and {1, 2, 24, 7} <= kept
     assert decontaminate.find(docs_of([]), bench).count() == 0
     assert decontaminate.clean(docs_of(rows), bench.where("false")).count() == len(rows)
+    several = sorted(decontaminate.clean(docs_of(rows), bench, most=60).collect(), key=str)
+    assert several == sorted(decontaminate.clean(docs_of(rows), bench).collect(), key=str)
+    spans_of = lambda **more: sorted(decontaminate.find(docs_of(rows), bench, **more).select("doc_id", "spans").collect(), key=str)
+    assert spans_of(most=60) == spans_of()
+
+
+def test_long_items_and_one_build_per_part(monkeypatch):
+    """Pieces hold all windows of an item, and a worker builds its automaton once for all texts."""
+    item = " ".join(f"w{i % 97}x{i}" for i in range(60))
+    monkeypatch.setattr(decontaminate, "BUILDS", 0)
+
+    class Shared:
+        value = [("1", item.encode()), ("2", b"short one")]
+
+    decontaminate._HELD.clear()
+    for n in range(50):
+        m = decontaminate.matcher("t", Shared, 13)
+        n_words, n_hit, items, spans = decontaminate.judged(f"lead {n} {item[: 80 + n]}, short one".encode(), m)
+        want = plain_hits(f"lead {n} {item[: 80 + n]}, short one", [("1", item), ("2", "short one")])
+        assert (n_words, n_hit, items) == want
+    assert decontaminate.BUILDS == 1
+
+
+def test_pieces_hold_all_windows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 5)
+    item = " ".join(f"w{i}" for i in range(41))
+    bench = spark.createDataFrame([(1, item), (1, item), (2, "short one"), (3, None), (4, "--")], "item_id long, text string")
+    lines = [bytes(r.line).decode().split() for r in decontaminate.benchmark_pieces(bench).collect()]
+    windows = {tuple(w[i : i + 13]) for w in lines if len(w) >= 13 for i in range(len(w) - 12)}
+    words_ = item.split()
+    assert windows == {tuple(words_[i : i + 13]) for i in range(29)} and ["short", "one"] in lines
 
 
 def plain_spans(text):
