@@ -10,13 +10,15 @@ distances at a time. Words of the block whose distances all exceed the radius
 are abandoned early.
 
 A block returns only a star per local component, never all of its pairs, and a
-key with many fingerprints is dealt out to cells of bounded size.
+key with many fingerprints is dealt out to cells of bounded size; one with very
+many first goes under finer keys, which is exact too.
 
 Defined results: null and blank texts have fingerprint zero and are linked to
 each other; exact copies share one fingerprint and so one component;
 ``component_id`` is the smallest non-null doc_id reachable (null if there is
 none); repeated rows stay; an empty table gives an empty result; other columns
-are ignored.
+are ignored. ``keep_one`` judges rows and not ids: one id may stand on several
+texts.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -64,15 +66,19 @@ def fingerprint(text: bytes, size: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, mark, fp): the fingerprint as a signed long; ``mark``, a hash of the text, tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", size, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", size, seed) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "mark", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(F.col("text")).alias("mark"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
+
+
+def _mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _planes(fp: np.ndarray) -> np.ndarray:
@@ -215,35 +221,55 @@ def _compare(radius: int):
     return run
 
 
-def tables_for(n: int, radius: int) -> list[list[tuple[int, int]]]:
-    """The bit ranges (shift, width) of each table's key, enough for ``n`` fingerprints."""
+def _mask(ranges: tuple[tuple[int, int], ...]) -> int:
+    return sum(((1 << width) - 1) << at for at, width in ranges)
+
+
+def tables_for(n: int, radius: int) -> list[tuple[int, list[int]]]:
+    """For each table the bits of its key, enough for ``n`` fingerprints, and the bits of its finer keys.
+
+    Of m bit ranges a table takes m - radius. The ranges it leaves are halved,
+    and a finer key adds as many halves as there are ranges left: fingerprints
+    that are linked and share the key also share one of those.
+    """
     m = radius + 1
     while m < radius + 4 and n > PER_KEY * 2 ** (64 * (m - radius) // m):
         m += 1
     edges = [64 * i // m for i in range(m + 1)]
     ranges = [(a, b - a) for a, b in zip(edges, edges[1:])]
-    return [list(c) for c in combinations(ranges, m - radius)]
+    out = []
+    for chosen in combinations(ranges, m - radius):
+        halves = [h for at, width in ranges if (at, width) not in chosen for h in ((at, width // 2), (at + width // 2, width - width // 2))]
+        own = _mask(chosen)
+        out.append((own, [own | _mask(c) for c in combinations(halves, radius)]))
+    return out
 
 
-def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (u, v) that connect all fingerprints ``fp`` within ``radius`` bits; not all pairs."""
-    tables = tables_for(distinct.count(), radius)
+def _signed(bits: int):
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
 
-    def key(ranges: list[tuple[int, int]]):
-        out, width = F.lit(0).cast("long"), 0
-        for at, bits in ranges:
-            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col("fp"), at).bitwiseAND(F.lit((1 << bits) - 1)), width))
-            width += bits
-        return out
 
-    keys = F.posexplode(F.array(*[key(r) for r in tables])).alias("t", "key")
-    rows = distinct.select("fp", keys)
+def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
+    """Links (u, v) that connect all fingerprints ``fp`` within ``radius`` bits (at most 7); not all pairs."""
+    if not 0 <= radius <= 7:
+        raise ValueError("the counters hold distances up to 7")
+    tables = tables_for(distinct.count(), radius)
+    masked = F.posexplode(F.array(*[F.col("fp").bitwiseAND(_signed(own)) for own, _ in tables])).alias("t", "key")
+    rows = distinct.select("fp", masked)
+    finer = len(tables[0][1])
     hot = common.cut(rows.groupBy("t", "key").count().where(F.col("count") > CELL))
     if hot.isEmpty():
         rows = rows.select("t", "key", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp")
     else:
+        rows = rows.join(common.small_or_not(hot), ["t", "key"], "left")
+        very = F.coalesce(F.col("count") * 2 > finer * CELL, F.lit(False))
+        if not hot.where(very).isEmpty():
+            # where cells would repeat a row more often than finer keys do, those are taken
+            more = rows.where(very).select(F.col("t").alias("table"), "fp").mapInArrow(_finer(tables), "t int, key long, fp long")
+            counts = common.cut(more.groupBy("t", "key").count().where(F.col("count") > CELL))
+            rows = rows.where(~very).unionByName(more.join(common.small_or_not(counts), ["t", "key"], "left"))
         # two chunks of half a cell meet in each cell
-        rows = rows.join(hot, ["t", "key"], "left").withColumn("k", F.coalesce(F.ceil(F.col("count") * 2 / CELL), F.lit(1)))
+        rows = rows.withColumn("k", F.coalesce(F.ceil(F.col("count") * 2 / CELL), F.lit(1)))
         own = F.pmod(F.xxhash64("fp"), F.col("k"))
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
         rows = rows.select("t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
@@ -251,30 +277,62 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.mapInArrow(_compare(radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs``."""
+def _finer(tables: list[tuple[int, list[int]]]):
+    """Each row of (table, fp) under all finer keys of its table."""
+    bits = np.array([finer for _, finer in tables], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            keys = fp.view(np.uint64)[:, None] & bits[table]
+            t = len(bits) + table[:, None].astype(np.int32) * bits.shape[1] + np.arange(bits.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(t.ravel().astype(np.int32)), pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp, bits.shape[1]))], ["t", "key", "fp"])
+
+    return run
+
+
+def _grouped(docs: DataFrame, size: int, radius: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints, and (fp, component_id, first) of each: ``first`` is the component's first (id, mark), nulls last."""
     fps = common.cut(fingerprints(docs, size, seed))
-    distinct = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low_id")))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    distinct = common.cut(fps.groupBy("fp").agg(F.min(place).alias("first")))
     roots = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = common.cut(rooted.select("fp", "low_id", "root"))
-    lowest = rooted.where("root is not null").groupBy("root").agg(F.min("low_id").alias("component_id"))
-    of_fp = rooted.join(lowest, "root", "left").select("fp", F.coalesce("component_id", "low_id").alias("component_id"))
+    rooted = common.cut(rooted.select("fp", "first", "root"))
+    lowest = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("lowest"))
+    first = F.coalesce("lowest", "first")
+    return fps, rooted.join(lowest, "root", "left").select("fp", first["doc_id"].alias("component_id"), first.alias("first"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``docs``."""
+    fps, of_fp = _grouped(docs, size, radius, seed)
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all its columns.
+    """One row of each component, with all its columns: that with the smallest doc_id, rows without one last.
 
-    Rows that repeat a kept doc_id and text are one. Rows without a doc_id stay
-    only where no row of their component has one, one for each text.
+    Of rows with that doc_id in the component the first by a hash of the text
+    stays. Rows that repeat a kept doc_id and text are one; which of them stays
+    follows a hash of their other columns.
     """
-    found = common.cut(near_duplicates(docs, size, radius, seed))
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).count()
-    out = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    if keep.where("count > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id", "text"])
+    fps, of_fp = _grouped(docs, size, radius, seed)
+    keys = fps.groupBy("doc_id", "mark", "fp").agg(F.count("*").alias("n")).join(of_fp, "fp")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    keys = common.cut(keys.select("doc_id", "mark", "n", stays.alias("stays")))
+    # what goes is the smaller side: while it is small the texts stay where they are
+    gone = keys.where(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "stays")
+    rows = docs.select(F.struct("*").alias("row"))
+    own = F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (_mark(F.col("row.text")) == F.col("gone_mark"))
+    out = rows.join(common.small_or_not(gone), own, "left").select("row", "stays")
+    once = out.where("stays is null").select("row.*")
+    if keys.where("stays and n > 1").isEmpty():
+        return once
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    repeated = out.where("stays").withColumns({"id": F.col("row.doc_id"), "mark": _mark(F.col("row.text"))})
+    one = repeated.groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in plain])).alias("row"))
+    return once.unionByName(one.select("row.*"))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

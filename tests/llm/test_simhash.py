@@ -65,7 +65,7 @@ def test_components_and_hot_keys(spark, docs_of, monkeypatch):
     fps = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in draw.integers(0, 64, (300, 2))} | {int(x) for x in draw.integers(0, 2**63, 50)})
     rows = spark.createDataFrame([(f - (1 << 64) if f >= 1 << 63 else f,) for f in fps], "fp long")
     want = plain_groups(fps)
-    for cell in (64, 1 << 15):
+    for cell in (3, 64, 1 << 15):
         monkeypatch.setattr(simhash, "CELL", cell)
         links = simhash.components(simhash.links(rows)).collect()
         got = {r.node % (1 << 64): r.root % (1 << 64) for r in links}
@@ -85,3 +85,22 @@ def test_near_duplicates_and_keep_one(docs_of):
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     assert ids.count(10) == 1 and 11 not in ids and 13 in ids and ids.count(4) == 1 and 5 not in ids
     assert simhash.near_duplicates(docs_of([])).count() == 0
+    with pytest.raises(ValueError):
+        simhash.links(found_pairs(docs_of), 8)
+
+
+def found_pairs(docs_of):
+    return simhash.fingerprints(docs_of([(1, "a")])).select("fp")
+
+
+def test_keep_one_judges_rows(spark, docs_of):
+    """One id on two texts, rows without an id, repeated rows, and columns named like the operator's own."""
+    text, other = " ".join(f"w{i}" for i in range(200)), " ".join(f"v{i}" for i in range(200))
+    rows = [(1, text, "a"), (5, text, "b"), (5, other, "c"), (6, other, "d"), (None, text, "e"), (None, "alone in the world", "f"), (None, "alone in the world", "g"), (7, "seven", "h"), (7, "seven", "i"), (7, "seven", "h")]
+    docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, kept_id string, count int, mark long, stays string")
+    for _ in range(2):
+        kept = simhash.keep_one(docs)
+        assert kept.columns == docs.columns
+        got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+        assert got == sorted([(1, text), (5, other), (None, "alone in the world"), (7, "seven")], key=str)
+        docs = docs.repartition(5)
