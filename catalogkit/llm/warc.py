@@ -2,13 +2,14 @@
 
 An archive is a leading skippable frame that holds the dictionary, then one
 Zstandard frame per record. Archives are written by Spark's text writer, to any
-file system it reaches: each row is one frame, and the line separator is an
-empty skippable frame, which a Zstandard stream may hold anywhere.
+file system it reaches: each row is some whole frames, and the line separator is
+an empty skippable frame, which a Zstandard stream may hold anywhere.
 
 The reader loads the dictionary from the leading frame, walks the frames by
 their block headers, decodes one record per frame and checks headers, lengths
-and digests. A record that fails is returned with ``error`` set; the others of
-its archive are not lost.
+and digests. A record that fails is returned with ``error`` set, and the others
+of its archive are read; only where a frame's own length is damaged the rest of
+that archive is one row with ``error``.
 
 Defined results: a null payload is empty; a payload of under ``least`` bytes is
 always a response; among equal payloads the smallest page_id is the response
@@ -20,6 +21,7 @@ empty table gives an empty archive; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -37,8 +39,8 @@ FRAME_MAGIC = 0xFD2FB528
 #: An empty skippable frame; all its bytes are ASCII, so it can be a line separator.
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0).decode("ascii")
 
-#: Payload bytes of one archive, about.
-ARCHIVE_BYTES = 32 << 20
+#: Bytes of one archive at most, but for its last record, and lines that it is written in.
+ARCHIVE_BYTES, ROWS = 32 << 20, 64
 #: The dictionary is trained on at most so many payloads (chosen by hash), so many bytes of each.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 8192, 16384
 #: Payloads shorter than this are never revisits.
@@ -48,9 +50,17 @@ _DATE = "2000-01-01T00:00:00Z"
 
 
 def train(pages: DataFrame) -> bytes:
-    """A dictionary for the payloads; empty if there are too few to train on."""
-    chosen = pages.select(F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("b"), F.xxhash64("html").alias("h")).where("html is not null")
-    samples = [bytes(r["b"]) for r in chosen.orderBy("h").limit(SAMPLE_ROWS).collect()]
+    """A dictionary for the payloads; empty if there are too few to train on.
+
+    The pages are chosen by a hash of their id and address, so that only numbers
+    are compared; the driver then fetches the start of SAMPLE_ROWS payloads.
+    """
+    place = F.xxhash64("page_id", "url", F.lit(3))
+    lowest = pages.select(place.alias("place")).distinct().orderBy("place").limit(SAMPLE_ROWS)
+    places = [r["place"] for r in lowest.collect()]
+    start = F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES)
+    chosen = pages.where(place.isin(places)).select(place.alias("place"), start.alias("b")).where("b is not null")
+    samples = [bytes(r["b"]) for r in chosen.groupBy("place").agg(F.min("b").alias("b")).orderBy("place").collect()]
     if sum(map(len, samples)) < 8 * DICTIONARY_BYTES or len(samples) < 16:
         return b""
     return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -80,6 +90,10 @@ class BadRecord(ValueError):
     pass
 
 
+def _length(text: str) -> int | None:
+    return int(text) if re.fullmatch(r"[0-9]{1,18}", text) else None
+
+
 def parse(data: bytes) -> dict:
     """The fields of one record, checked; raises BadRecord."""
     head, gap, rest = data.partition(b"\r\n\r\n")
@@ -95,13 +109,16 @@ def parse(data: bytes) -> dict:
     for key in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if key not in fields:
             raise BadRecord(f"no {key}")
-    if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
+    length = _length(fields["content-length"])
+    if length is None or len(rest) != length + 4 or not rest.endswith(b"\r\n\r\n"):
         raise BadRecord("content-length does not match the block")
     block = rest[:-4]
     http, gap, payload = block.partition(b"\r\n\r\n")
-    stated = [int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    stated = [_length(x.partition(b":")[2].strip().decode("latin-1")) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
     if not gap or len(stated) != 1:
         raise BadRecord("no HTTP header")
+    if stated[0] is None:
+        raise BadRecord("the HTTP length is not a number")
     digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
     if fields["warc-type"] == "response":
         if stated[0] != len(payload):
@@ -116,7 +133,7 @@ def parse(data: bytes) -> dict:
 
     def page(key: str) -> int | None:
         value = fields.get(key, "").removeprefix("<urn:page:").removesuffix(">")
-        return int(value) if value.lstrip("-").isdigit() else None
+        return int(value) if re.fullmatch(r"-?[0-9]{1,18}", value) else None
 
     return {
         "page_id": page("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "refers_to": page("warc-refers-to"),
@@ -151,6 +168,13 @@ def frames(data: memoryview) -> Iterator[tuple[int, memoryview]]:
         at = end
 
 
+def opened(dictionary: bytes) -> bytes:
+    """The dictionary of a leading frame, which may itself be compressed."""
+    if dictionary[:4] == struct.pack("<I", FRAME_MAGIC):
+        return zstandard.ZstdDecompressor().decompressobj().decompress(dictionary)
+    return dictionary
+
+
 def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, payload, digest, is_revisit and refers_to of each page.
 
@@ -167,24 +191,40 @@ def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES, level: int = 3) -> None:
-    """Writes the pages as archives under ``path``, one per task and each with the dictionary in front."""
+    """Writes the pages as archives under ``path``, each with the dictionary in front.
+
+    Frames are joined to lines of about a ROWS-th of ``archive_bytes``, and the
+    writer starts a new file after ROWS lines, the first of which is the
+    dictionary. An archive that is full early is filled up with empty lines, so
+    none exceeds ``archive_bytes`` by more than one line, or one record.
+    """
     dictionary = train(pages)
+    line_bytes = max(1, archive_bytes // ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=level, dict_data=shared, write_checksum=True)
         # raw bytes in a string column: the text writer copies them as they are
         text = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()).view(pa.string())], ["value"])
-        yield text([struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary])
+        lead = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
+        yield text([lead])
+        lines, size, held, held_size = 1, 0, [], 0
         for batch in slices(batches, "payload"):
-            rows = batch.to_pylist()
-            yield text([packer.compress(record(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], r["is_revisit"])) for r in rows])
+            for r in batch.to_pylist():
+                frame = packer.compress(record(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], r["is_revisit"]))
+                if lines == ROWS or (size and size + held_size + len(frame) > archive_bytes):
+                    yield text([b"".join(held)] * (1 if held else 0) + [b""] * (ROWS - lines - (1 if held else 0)) + [lead])
+                    lines, size, held, held_size = 1, 0, [], 0
+                held.append(frame)
+                held_size += len(frame)
+                if held_size >= line_bytes:
+                    yield text([b"".join(held)])
+                    lines, size, held, held_size = lines + 1, size + held_size, [], 0
+        if held:
+            yield text([b"".join(held)])
 
     rows = with_revisits(pages, least)
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    if rows.rdd.getNumPartitions() * archive_bytes < size:
-        rows = rows.repartition(-(-size // archive_bytes))
-    rows.mapInArrow(run, "value string").write.option("lineSep", SEPARATOR).text(path)
+    rows.mapInArrow(run, "value string").write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ROWS).text(path)
 
 
 _RECORD = "archive string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
@@ -204,19 +244,19 @@ def read(spark, path: str) -> DataFrame:
                     for i, (magic, frame) in enumerate(frames(memoryview(content.as_buffer()))):
                         if magic == DICTIONARY_MAGIC and i == 0:
                             if len(frame) > 8:
-                                opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(bytes(frame[8:])))
+                                opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(opened(bytes(frame[8:]))))
                         if magic != FRAME_MAGIC:
                             continue
                         try:
                             row = parse(opener.decompress(frame))
-                        except (BadRecord, zstandard.ZstdError) as e:
+                        except (ValueError, zstandard.ZstdError) as e:
                             row = {"error": str(e)}
                         held.append({"archive": archive, **row})
                         size += len(row.get("payload") or b"")
                         if size >= 8 << 20:
                             yield pa.RecordBatch.from_pylist(held, schema)
                             held, size = [], 0
-                except BadRecord as e:  # what follows in this archive cannot be found
+                except (ValueError, zstandard.ZstdError) as e:  # what follows in this archive cannot be found
                     held.append({"archive": archive, "error": str(e)})
                 if held:
                     yield pa.RecordBatch.from_pylist([dict.fromkeys(names) | r for r in held], schema)

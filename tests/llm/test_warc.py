@@ -1,7 +1,10 @@
 import hashlib
+import re
+import struct
 import uuid
 
 import pytest
+import zstandard
 
 from catalogkit.llm import warc
 
@@ -32,6 +35,10 @@ def test_frames_and_damage():
     for bad in (data[:-1], data.replace(b"hi", b"ho"), b"nothing", data.replace(b"WARC-Date", b"X-Date")):
         with pytest.raises(warc.BadRecord):
             warc.parse(bad)
+    for bad in (data.replace(b"Content-Length: 9\r\n\r\n<p>", b"Content-Length: x\r\n\r\n<p>"), re.sub(rb"Content-Length: \d+\r\n\r\nHTTP", b"Content-Length: " + "²".encode() + b"\r\n\r\nHTTP", data)):
+        assert bad != data
+        with pytest.raises(warc.BadRecord):
+            warc.parse(bad)
     with pytest.raises(warc.BadRecord):
         list(warc.frames(memoryview(b"\x28\xb5\x2f\xfd")))
 
@@ -40,3 +47,34 @@ def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/{uuid.uuid4().hex}"
     warc.write(spark.createDataFrame([], SCHEMA), path)
     assert warc.read(spark, path).count() == 0
+
+
+def test_damage_stays_local_and_compressed_dictionary(spark, tmp_path):
+    """Bad records are rows with an error; the others of the archive are read, with a compressed dictionary too."""
+    samples = [f"<p>page {i} of the archive with words {i * 7}</p>".encode() * 20 for i in range(400)]
+    raw = zstandard.train_dictionary(4096, samples).as_bytes()
+    packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+    records = [warc.record(i, "u", b, hashlib.sha256(b).hexdigest(), None, False) for i, b in enumerate(samples[:6])]
+    records[2] = records[2].replace(b"Content-Length: ", b"Content-Length: x", 2)
+    records[4] = b"nothing"
+    for kind, dictionary in (("plain", raw), ("packed", zstandard.ZstdCompressor().compress(raw))):
+        (tmp_path / kind).mkdir()
+        lead = struct.pack("<II", warc.DICTIONARY_MAGIC, len(dictionary)) + dictionary
+        (tmp_path / kind / "part-0").write_bytes(lead + b"".join(map(packer.compress, records)))
+        rows = warc.read(spark, f"file://{tmp_path}/{kind}").collect()
+        assert sorted(r.page_id for r in rows if not r.error) == [0, 1, 3, 5] and sum(bool(r.error) for r in rows) == 2
+
+
+def test_archives_are_bounded_and_ids_may_repeat(spark, tmp_path):
+    """Null and repeated ids, one long payload, and archives that all start with the dictionary."""
+    body = lambda i: hashlib.sha256(str(i).encode()).hexdigest() * 40
+    rows = [(i, f"http://h/{i}", body(i), "d") for i in range(300)] + [(None, "n", body(1), "d"), (7, "again", body(7), "d"), (900, "long", "".join(body(i) for i in range(2000)), "d"), (None, "m", body("m"), "d"), (None, "k", body("m"), "d")]
+    path = f"{tmp_path}/{uuid.uuid4().hex}"
+    warc.write(spark.createDataFrame(rows, SCHEMA).coalesce(1), f"file://{path}", archive_bytes=30_000)
+    files = [p.read_bytes() for p in __import__("pathlib").Path(path).glob("part-*")]
+    sizes = sorted(map(len, files))
+    assert len(files) > 4 and sizes[-2] < 3 * 30_000 and all(f[:4] == struct.pack("<I", warc.DICTIONARY_MAGIC) for f in files)
+    got = warc.read(spark, f"file://{path}").collect()
+    assert len(got) == len(rows) and not any(r.error for r in got)
+    kinds = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in got if r.page_id in (None, 1, 7))
+    assert kinds == sorted([("1", "response", "None"), ("7", "response", "None"), ("7", "response", "None"), ("None", "revisit", "1"), ("None", "response", "None"), ("None", "response", "None")])
