@@ -14,8 +14,9 @@ seed, so reruns agree.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; a document of size 0 is never fractional and takes 0 words;
-rows that repeat a document count as documents of their own; an empty table
-gives an empty result; other columns are ignored.
+rows that repeat a document count as documents of their own, numbered where
+they are equal, and share its copies alike but for one; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from . import common
 BLOCK = 64
 #: Fractions this near to 0 or 1 count as integral.
 EPS = 1e-9
+#: Equal rows that one task numbers at most.
+REPEATS = 1 << 14
 
 
 def word_count(text: Column) -> Column:
@@ -83,7 +86,7 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
 
 def _fold(level: int, seed: int) -> Column:
     """Folds ``items`` to done (items with 0 or 1) and kept (at most one fractional item)."""
-    item = "struct<size:bigint,doc_id:bigint,row:bigint,p:double>"
+    item = "struct<size:bigint,doc_id:bigint,mark:bigint,row:bigint,p:double>"
     item_type = T._parse_datatype_string(item)
     start = F.struct(
         F.lit(None).cast(item_type).alias("kept"),
@@ -92,7 +95,7 @@ def _fold(level: int, seed: int) -> Column:
 
     def with_p(x: Column, p: Column) -> Column:
         whole = F.when(p < EPS, 0.0).when(p > 1 - EPS, 1.0).otherwise(p)
-        return F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), x["row"].alias("row"), whole.alias("p"))
+        return F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), x["mark"].alias("mark"), x["row"].alias("row"), whole.alias("p"))
 
     def step(acc: Column, x: Column) -> Column:
         k = acc["kept"]
@@ -117,21 +120,38 @@ def _fold(level: int, seed: int) -> Column:
     return F.aggregate("items", start, step)
 
 
-def round_copies(fractional: DataFrame, seed: int = 17, block: int = BLOCK) -> DataFrame:
-    """Rounds ``p`` of (source, doc_id, row, size, p) to 0 or 1 within each source.
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``row``, a hash that no two rows share: equal rows are counted, and the count is written out again as numbers.
 
-    ``row`` tells rows apart; 0 < p < 1 and size > 0.
+    The rows are the same, however they were dealt out. Large counts are
+    written out a stretch at a time by many tasks.
     """
-    rest = common.cut(fractional.select("source", "doc_id", "row", "size", "p"))
+    keys = rows.columns
+    counts = common.cut(rows.groupBy(*keys).agg(F.count("*").alias("repeats")))
+    stretches = F.sequence(F.lit(0).cast("long"), F.floor((F.col("repeats") - 1) / REPEATS))
+    last = F.least((F.col("stretch") + 1) * REPEATS, F.col("repeats")) - 1
+    few = counts.where(F.col("repeats") <= REPEATS).withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1)))
+    many = counts.where(F.col("repeats") > REPEATS)
+    out = few.select(*keys, "number")
+    if not many.isEmpty():
+        dealt = many.withColumn("stretch", F.explode(stretches)).repartition(*keys, "stretch")
+        out = out.unionByName(dealt.withColumn("number", F.explode(F.sequence(F.col("stretch") * REPEATS, last))).select(*keys, "number"))
+    filled = [F.coalesce(F.col(c).cast("string"), F.lit("null")) if c in ("doc_id", "source") else F.col(c) for c in keys]
+    return out.select(*keys, F.xxhash64(*filled, "number").alias("row"))
+
+
+def round_copies(fractional: DataFrame, seed: int = 17, block: int = BLOCK) -> DataFrame:
+    """Rounds ``p`` of (source, doc_id, mark, size, p) to 0 or 1 within each source; 0 < p < 1 and size > 0."""
+    rest = common.cut(numbered(fractional.select("source", "doc_id", "mark", "size", "p")))
     n = rest.count()
     done = []
     blocks, level = max(1, math.ceil(n / block)), 0
     while True:
         place = F.pmod(F.xxhash64(F.col("row"), F.lit(level), F.lit(seed)), F.lit(blocks))
-        item = F.struct((-F.col("size")).alias("o"), "doc_id", "row", "p")
+        item = F.struct((-F.col("size")).alias("o"), "doc_id", "mark", "row", "p")
         items = F.transform(
             F.array_sort(F.collect_list(item)),
-            lambda x: F.struct((-x["o"]).alias("size"), x["doc_id"].alias("doc_id"), x["row"].alias("row"), x["p"].alias("p")),
+            lambda x: F.struct((-x["o"]).alias("size"), x["doc_id"].alias("doc_id"), x["mark"].alias("mark"), x["row"].alias("row"), x["p"].alias("p")),
         )
         folded = common.cut(rest.groupBy("source", place.alias("place")).agg(items.alias("items")).select("source", _fold(level, seed).alias("f")))
         done.append(folded.select("source", F.inline("f.done")))
@@ -140,25 +160,22 @@ def round_copies(fractional: DataFrame, seed: int = 17, block: int = BLOCK) -> D
             break
         blocks, level = max(1, math.ceil(blocks / block)), level + 1
     u = F.xxhash64(F.col("row"), F.lit(-1), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    out = rest.select("source", "size", "doc_id", "row", F.when(u < F.col("p"), 1.0).otherwise(0.0).alias("p"))
+    out = rest.select("source", "size", "doc_id", "mark", "row", F.when(u < F.col("p"), 1.0).otherwise(0.0).alias("p"))
     for d in done:
         out = out.unionByName(d)
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+def _mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    ``docs`` needs doc_id, text and source.
-    """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    # equal rows get equal keys: which of them a fold takes makes no difference
-    sized = common.cut(sized.withColumn("row", F.xxhash64("doc_id", "source", "size")))
-    return mix_sized(sized, weights, cap, seed)
 
+def plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17) -> DataFrame:
+    """One row per document: doc_id, mark (a hash of its text), source, size, source_size, target, copies, taken.
 
-def mix_sized(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17) -> DataFrame:
-    """``mix`` for materialised rows of (doc_id, source, size, row)."""
+    ``docs`` needs doc_id, text and source.
+    """
+    sized = common.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), _mark(F.col("text")).alias("mark")))
     targets = common.cut(source_targets(sized, weights, cap))
     dim = common.small_or_not(targets.withColumnRenamed("source", "its_source"))
     rows = sized.join(dim, F.col("source").eqNullSafe(F.col("its_source")), "left").drop("its_source")
@@ -171,9 +188,38 @@ def mix_sized(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: flo
     opened = rounded.join(dim, F.col("source").eqNullSafe(F.col("its_source")), "left").withColumn(
         "copies", F.floor(F.col("target") / F.col("source_size")) + F.col("p").cast("long")
     )
-    cols = ["doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")]
+    cols = ["doc_id", "mark", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")]
     return closed.select(*cols).unionByName(opened.select(*cols))
 
 
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17) -> DataFrame:
+    """``plan`` without the marks."""
+    return plan(docs, weights, cap, seed).drop("mark")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17) -> DataFrame:
+    """The mix itself: the documents it takes, with all their columns, once for each copy.
+
+    Added: mix_copy (from 1), mix_copies, mix_size, mix_source_size and
+    mix_target. Documents without a copy are left out. Rows with one doc_id,
+    text and source are one document here: the first by a hash of the other
+    columns stands for all their copies.
+    """
+    key = ["doc_id", "mark", "source"]
+    taken = plan(docs, weights, cap, seed).groupBy(*key).agg(
+        F.sum("copies").alias("copies"), F.count("*").alias("n"), F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target")
+    )
+    taken = common.cut(taken.where("copies > 0").select(F.struct(*[F.col(c).alias(c) for c in (*key, "copies", "n", "size", "source_size", "target")]).alias("mix")))
+    rows = docs.select(F.struct("*").alias("row"))
+    own = F.col("row.doc_id").cast("long").eqNullSafe(F.col("mix.doc_id")) & F.col("row.source").eqNullSafe(F.col("mix.source")) & (_mark(F.col("row.text")) == F.col("mix.mark"))
+    met = rows.join(common.small_or_not(taken), own).select("row", "mix")
+    out = met.where("mix.n = 1")
+    if not taken.where("mix.n > 1").isEmpty():
+        plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        out = out.unionByName(met.where("mix.n > 1").groupBy("mix").agg(F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in plain])).alias("row")).select("row", "mix"))
+    copies = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies"))))
+    return copies.select("row.*", "mix_copy", *[F.col("mix")[c].alias(f"mix_{c}") for c in ("copies", "size", "source_size", "target")])
+
+
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

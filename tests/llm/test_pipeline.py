@@ -1,11 +1,13 @@
 """The pipeline's stages against plain Python, on a small corpus that holds every case."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from catalogkit.llm import mixing
+
 from .test_mixing import check
 from .test_scans import plain_hits, plain_spans
 from .test_simhash import plain_fingerprint, plain_groups
@@ -54,9 +56,14 @@ def test_stages(spark, docs_of, tmp_path):
     assert set(scanned) == ids("decontamination")
     assert all(plain_spans(r.text) == "" and r.n_chars == len(r.text) for r in scanned.values())
     assert all(r.text == texts[i] for i, r in scanned.items() if plain_spans(texts[i]) == "")
-    check([(r.doc_id, r.text, r.lang, r.source) for r in scanned.values()], by_stage["source_mix"].collect())
-    again = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "copies")
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, by_stage["source_mix"].select("doc_id", "copies").collect()))
+    planned = {r.doc_id: r for r in mixing.plan(by_stage["secret_scan"]).collect()}
+    check([(r.doc_id, r.text, r.lang, r.source) for r in scanned.values()], list(planned.values()))
+    mix = by_stage["source_mix"].collect()
+    assert by_stage["source_mix"].columns[: len(docs.columns)] == docs.columns
+    assert Counter(r.doc_id for r in mix) == Counter({i: r.copies for i, r in planned.items() if r.copies})
+    assert all(r.text == scanned[r.doc_id].text and (r.mix_size, r.mix_target) == (planned[r.doc_id].size, planned[r.doc_id].target) for r in mix)
+    again = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "mix_copy")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, by_stage["source_mix"].select("doc_id", "mix_copy").collect()))
     empty = by_stage["language_id"].where(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
