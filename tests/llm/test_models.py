@@ -27,6 +27,77 @@ def test_language_documents(docs_of):
     assert langid.keep_identified(docs_of([])).count() == 0
 
 
+def plain_posteriors(evidence, rows):
+    """The fused posterior of (text, declared, host, suffix) rows, one by one, from the evidence's text model."""
+    k, names = evidence.k, evidence.languages
+    scores = []
+    for text, *_ in rows:
+        low = bytes((text or "").encode()).translate(langid._LETTERS)
+        found = np.zeros(k)
+        n = 0
+        for a, b, c in zip(low, low[1:], low[2:]):
+            if (a, b) != (32, 32) and (b, c) != (32, 32):
+                found += evidence.table[:, ((a * 2039 + b * 127 + c) * 40503 % 2**32) >> 3 & langid.BUCKETS - 1]
+                n += 1
+        scores.append(found * min(n, langid.EVIDENCE) / max(n, 1))
+    soft = [np.exp(s - s.max()) / np.exp(s - s.max()).sum() for s in scores]
+    total = sum(soft) + 1.0
+    confusion = np.full((k - 1, k), 1.0)
+    for (_, declared, _, _), p in zip(rows, soft):
+        if declared in names[:-1]:
+            confusion[names.index(declared)] += p
+    confusion /= confusion.sum(axis=0)
+    out = []
+    for i, (_, declared, host, suffix) in enumerate(rows):
+        of_suffix = sum((p for (*_, s), p in zip(rows, soft) if s == suffix), np.zeros(k)) - soft[i]
+        of_host = sum((p for (*_, h, s), p in zip(rows, soft) if (h, s) == (host, suffix)), np.zeros(k)) - soft[i]
+        prior = (of_suffix + langid.SUFFIX_WEIGHT * total / total.sum()) / (of_suffix.sum() + langid.SUFFIX_WEIGHT)
+        prior = (of_host + langid.HOST_WEIGHT * prior) / (of_host.sum() + langid.HOST_WEIGHT)
+        logs = scores[i] + np.log(prior) + (np.log(confusion[names.index(declared)]) if declared in names[:-1] else 0)
+        out.append(np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum())
+    return out
+
+
+@pytest.mark.parametrize("bound", [50_000, 3])
+def test_fusion_matches_plain_python(spark, monkeypatch, bound):
+    """Few hosts (beside the text) and many (narrow joins) give the posterior worked out row by row."""
+    monkeypatch.setattr(langid.common, "BROADCAST_ROWS", bound)
+    draw = np.random.default_rng(8)
+    rows = [(texts(int(draw.integers(1, 30)), lang, draw), lang if i % 5 else None, None if i % 11 == 0 else f"h{i % 7}", None if i % 11 == 0 else f"s{i % 7 % 2}") for i, lang in enumerate(["en", "fr", "de"] * 30)]
+    rows += [(None, "en", "h1", "s1"), ("", None, None, None), ("zzkq xqj", "xx", "h2", "s0"), ("the", None, "only", "s9")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n long, text string, declared string, host string, suffix string")
+    evidence = langid.Evidence(df)
+    want = plain_posteriors(evidence, rows)
+    for source in [evidence.scored] + [df] * evidence.few_hosts:
+        got = {r.n: r.id_posterior for r in evidence.apply(source).collect()}
+        assert len(got) == len(rows) and all(np.allclose(got[i], want[i], atol=1e-6) for i in got)
+
+
+@pytest.mark.parametrize("bound", [50_000, 1])
+def test_rare_languages_and_gibberish(docs_of, monkeypatch, bound):
+    """A language too rare for a model keeps what it declares, one with few rows is found, jumbled letters go."""
+    monkeypatch.setattr(langid.common, "BROADCAST_ROWS", bound)
+    draw = np.random.default_rng(1)
+    few = " ".join("zuri kwa habari sana watu nyumba maji njema mtoto kitabu".split())
+    rows = [(100 + i, texts(40, lang, draw), lang, f"host-{lang}") for i, lang in enumerate(["en", "fr", "de"] * 4000)]
+    rows += [(20_000 + i, " ".join(draw.choice(few.split(), 30)), "sw", "host-sw") for i in range(22)]
+    rows += [(30_000 + i, "hyvaa paivaa minun nimeni oli talo vesi joulupukki kaksi kolme yksi", "fi", "host-fi") for i in range(3)]
+    jumbled = " ".join("".join(draw.choice(list("bcdfghjklmnpqrstvwxz"), 6)) for _ in range(40))
+    rows += [(40_000, jumbled, "en", "host-en"), (40_001, jumbled, None, None)]
+    kept = {r.doc_id: r.lang for r in langid.keep_identified(docs_of(rows)).collect()}
+    assert all(kept[i] == lang for i, _, lang, _ in rows if i < 40_000 and lang)
+    assert 40_000 not in kept and 40_001 not in kept
+
+
+def test_markup_is_read_in_linear_time():
+
+    kept = langid.visible(b"one<script>hidden</script>two<!-- hidden -->three<style>hidden</STYLE>four")
+    assert b"hidden" not in kept and all(w in kept for w in (b"one", b"two", b"three", b"four"))
+    for unclosed in (b"<script>", b"<style>", b"<!--", b"<", b"<!-- <script>"):
+        langid.visible(unclosed * 200_000)
+        langid.visible(unclosed * 100_000 + b"</script><style></style>-->" + unclosed * 100_000)
+
+
 def test_language_pages(spark):
     draw = np.random.default_rng(2)
     rows = [(i, f"https://h{i % 5}.example.{'fr' if lang == 'fr' else 'com'}/x", f'<html lang="{lang}"><p>{texts(30, lang, draw)}</p></html>') for i, lang in enumerate(["en", "fr", "de"] * 30)]
