@@ -13,12 +13,12 @@ from catalogkit.llm import common, decontaminate, langid, mixing, secrets, simha
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is not known with a posterior of 0.5; sets ``lang``."""
+    """Drops documents whose text is in no known language, or in which one is not known with a posterior of 0.5; sets ``lang``."""
     return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates, that with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
@@ -34,8 +34,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies that the mix takes of each document, with its size and its source's target."""
-    return mixing.mix(docs)
+    """The mix: the documents it takes, once for each copy, with their size and their source's target."""
+    return mixing.mixed(docs)
 
 
 STAGES = [
