@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import re
 import unicodedata
 
 import numpy as np
@@ -12,8 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .constants import RELEASE_TOKENS
-
 
 @F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
@@ -51,52 +48,6 @@ def similarity_bound(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2 * F.least(F.length(a), F.length(b)) / total)
 
 
-_NUMBER = re.compile(r"(?:^|(?<=[\s._-]))\d{3,4}(?=[\s._-]|$)")
-_TOKEN = re.compile(rf"(?i)\b(?:{RELEASE_TOKENS})\b")
-_CODEC = re.compile(r"(?i)(?:^|[\s._-])[hx][\s._-]?$")
-_YEAR_NEXT = re.compile(r"(?:^|[\s._(\[-])(?:19|20)\d\d(?=[)\]\s._-]|$)")
-
-
-def _weak(stem: str | None) -> dict | None:
-    """The first bare SEE or SSEE number that can be an episode; one between dashes is preferred."""
-    if not stem:
-        return None
-    token = _TOKEN.search(stem)
-    plain, year_follows = None, False
-    for m in _NUMBER.finditer(stem, 0, len(stem)):
-        if token and m.start() >= token.start():
-            break
-        before, after = stem[: m.start()], stem[m.end() :]
-        if not before or _CODEC.search(before):
-            continue
-        opened, closed = before.endswith(" - "), after.startswith(" - ")
-        segment = opened and (closed or not after)
-        if not segment and _YEAR_NEXT.search(after):
-            year_follows = True
-            continue
-        if re.fullmatch(r"(?:19|20)\d\d", m[0]) and not (opened and closed):
-            continue
-        season, episode = int(m[0][:-2]), int(m[0][-2:])
-        if not season or not episode:
-            continue
-        found = {"season": season, "first": episode, "start": m.start(), "end": m.end()}
-        if segment:
-            return found
-        plain = plain or found
-    return None if year_follows else plain
-
-
-@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("season", "first", "start", "end")]))
-def _weak_numbers(s: pd.Series) -> pd.DataFrame:
-    rows = [_weak(x) or {"season": None, "first": None, "start": None, "end": None} for x in s]
-    return pd.DataFrame(rows, columns=["season", "first", "start", "end"]).astype("Int32")
-
-
-def weak_number(stem: Column) -> Column:
-    """Season, first, start and end of a bare episode number, all null without one."""
-    return _weak_numbers(stem)
-
-
 @F.pandas_udf(T.StringType())
 def _fingerprint(size: pd.Series, head: pd.Series, tail: pd.Series) -> pd.Series:
     out = []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import helpers as H
 from ..functions import names as N
-from ..functions.constants import RELEASE_TOKENS
+from ..functions.words import RELEASE_WORD
 from .settle import settle
 
 FUZZY_CUTOFF, CONTAINED_SHARE = 0.82, 0.5
@@ -106,17 +106,68 @@ def match_contained(probes: DataFrame, catalogue: DataFrame, min_share: float =
     return out.where(hit.isNotNull()).select("probe_id", hit.alias("hit"), share.alias("share"), ((share >= min_share) | F.coalesce(own, F.lit(False))).alias("accepted"))
 
 
+#: Cutoff from which on similar texts must share pairs of letters.
+BLOCKED = 0.7
+
+
+def _letter_pairs(key: Column) -> Column:
+    """The neighbouring letters of a text, each with the times it stood before, so that repeats count apart."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(2)))
+    return N.let(pairs, lambda ps: F.transform(ps, lambda p, i: F.concat(p, F.size(F.filter(F.slice(ps, F.lit(1), i), lambda q: q == p)).cast("string"))))
+
+
+def _least_shared(total: Column, cutoff: float) -> Column:
+    """Letter pairs that two texts of ``total`` letters share at least, if their similarity reaches the cutoff.
+
+    Of total letters at most (1 - cutoff) * total are unmatched; each ends at
+    most one matching stretch, and a stretch of n letters has n - 1 pairs.
+    """
+    return F.ceil(total * (1.5 * cutoff - 1) - 1 - 1e-9)
+
+
+def _prefixes(rows: DataFrame, counts: DataFrame, name: str, cutoff: float) -> DataFrame:
+    """(show, ``name``, pair): the rarest letter pairs of each text, enough to meet any similar text."""
+    size = F.length(name)
+    pairs = rows.select("show", name, F.explode(_letter_pairs(F.col(name))).alias("pair")).join(counts, ["show", "pair"], "left")
+    ranked = pairs.groupBy("show", name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair"))).alias("pairs"))
+    # the least partner is the shortest one
+    least = _least_shared(size + F.ceil(size * cutoff / (2 - cutoff) - 1e-9), cutoff)
+    first = F.slice("pairs", F.lit(1), F.greatest(F.size("pairs") - F.greatest(least, F.lit(0)) + 1, F.lit(1)).cast("int"))
+    # texts so short that they need not share a pair meet under a mark of their own
+    short = F.when(least <= 0, F.array(F.lit("short"))).otherwise(F.array().cast("array<string>"))
+    return ranked.select("show", name, F.explode(F.concat(F.transform(first, lambda p: p["pair"]), short)).alias("pair"))
+
+
+def fuzzy_pairs(probes: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
+    """(show, p_key, key) of all pairs within a show whose similarity may reach the cutoff.
+
+    Texts meet on their rarest letter pairs, so a show's titles are not paired
+    out and a large show is spread over its letter pairs; lengths and the count
+    of shared pairs leave few to be compared.
+    """
+    probes, keys = settle(probes.select("show", "p_key").distinct()), settle(keys.select("show", "key").distinct())
+    if cutoff < BLOCKED:
+        return probes.join(keys, "show").where(H.similarity_bound(F.col("p_key"), F.col("key")) >= cutoff)
+    counts = settle(keys.select("show", F.explode(_letter_pairs(F.col("key"))).alias("pair")).groupBy("show", "pair").agg(F.count("*").alias("n")))
+    met = _prefixes(probes, counts, "p_key", cutoff).join(_prefixes(keys, counts, "key", cutoff), ["show", "pair"])
+    met = met.where(H.similarity_bound(F.col("p_key"), F.col("key")) >= cutoff).select("show", "p_key", "key").distinct()
+    shared = F.size(F.array_intersect(_letter_pairs(F.col("p_key")), _letter_pairs(F.col("key"))))
+    return met.where(shared >= _least_shared(F.length("p_key") + F.length("key"), cutoff))
+
+
 def match_fuzzy(probes: DataFrame, catalogue: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """The most similar title of the show, at least ``cutoff``; never for a probe with a part number.
 
-    Only the rest after the exact joins comes here. Shows are the blocks, lengths
-    bound the ratio before it is worked out.
+    Only the rest after the exact joins comes here. A title is chosen by its
+    similarity to the probe; the score is that of the probe to the title.
     """
     p = probes.where(N.parse_marker(F.col("text"))["number"].isNull()).withColumn("p_key", N.match_key(F.col("text")))
+    p = settle(p.where("p_key is not null"))
     c = exact_index(catalogue).select("show", "key", F.struct(*_HIT).alias("hit"))
-    pairs = p.join(c, "show").where(H.similarity_bound(F.col("p_key"), F.col("key")) >= cutoff)
-    scored = pairs.withColumn("score", H.similarity(F.col("p_key"), F.col("key"))).where(F.col("score") >= cutoff)
-    return scored.groupBy("probe_id").agg(F.max_by(F.struct("hit", "score"), F.struct("score", "key")).alias("b")).select("probe_id", "b.hit", "b.score")
+    scored = fuzzy_pairs(p, c, cutoff).withColumn("near", H.similarity(F.col("key"), F.col("p_key"))).where(F.col("near") >= cutoff)
+    best = scored.groupBy("show", "p_key").agg(F.max_by("key", F.struct("near", "key")).alias("key"))
+    best = best.withColumn("score", H.similarity(F.col("p_key"), F.col("key"))).join(c, ["show", "key"])
+    return p.join(best, ["show", "p_key"]).select("probe_id", "hit", "score")
 
 
 def match_number(parsed: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -170,7 +221,7 @@ def match_episodes(files: DataFrame, catalogue: DataFrame, cutoff: float = FUZZY
     probes = files.select(
         "file_id", "show", "season", "first", F.posexplode(F.array("own", "segment_title", N.without_show(F.col("own"), F.col("show")))).alias("place", "raw")
     ).where("raw is not null")
-    clean = F.regexp_replace(F.regexp_replace(F.col("raw"), rf"(?i)\b(?:{RELEASE_TOKENS})\b", " "), "^[ ._-]+|[ ._-]+$", "")
+    clean = F.regexp_replace(F.regexp_replace(F.col("raw"), RELEASE_WORD, " "), "^[ ._-]+|[ ._-]+$", "")
     forms = F.posexplode(F.array("raw", N.cut_release_fields(F.col("raw")), clean)).alias("form", "text")
     texts = probes.select("file_id", "show", "season", "first", "place", forms).where("text <> ''")
     texts = settle(texts.withColumn("probe_id", F.col("file_id") * 16 + F.col("place") * 4 + F.col("form")))

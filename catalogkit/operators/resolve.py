@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import figures as G
 from ..functions import helpers as H
 from ..functions import names as N
+from .settle import settle, small
 
 NAME_CUTOFF, CONTAINED_SCORE, SEARCH_LIMIT = 0.82, 0.9, 10
 
@@ -78,21 +79,42 @@ def _words(key: Column) -> Column:
     return F.filter(F.array_distinct(F.split(key, " ")), lambda w: w != "")
 
 
-def search_candidates(readings: DataFrame, names: DataFrame, k: int = SEARCH_LIMIT) -> DataFrame:
-    """At most ``k`` entities per reading (title_id, name) that share words with it.
+#: Names that a word may stand in before it counts as frequent.
+FREQUENT = 1000
 
-    Every word counts, however frequent: distinct sets of words meet, not rows,
-    and of entities with equal words the first ``k`` stand for all. Equal keys
-    come first, so no equal name is lost.
+
+def search_candidates(readings: DataFrame, names: DataFrame, k: int = SEARCH_LIMIT, frequent: int = FREQUENT) -> DataFrame:
+    """At most ``k`` entities per reading (title_id, name) that share words with it, most words first.
+
+    Every word counts, however frequent. Readings and names meet on words in at
+    most ``frequent`` names; there all shared words are counted. Those that
+    share frequent words only meet by the distinct sets of such words, of which
+    there are few, and of entities with one set the first ``k`` stand for all:
+    no other can come before them. Equal keys come first, so no equal name is
+    lost.
     """
     keyed = names.select("tmdb", N.match_key(F.col("name")).alias("key")).distinct()
     wanted = readings.select("title_id", "name", N.match_key(F.col("name")).alias("key")).distinct()
-    keys = wanted.select("key").distinct()
-    bags = keyed.withColumn("word", F.explode(_words(F.col("key")))).groupBy("tmdb").agg(F.array_sort(F.collect_set("word")).alias("bag"))
-    first = top_k(bags, ["bag"], [F.asc("tmdb")], k).drop("rank")
-    shared = keys.withColumn("word", F.explode(_words(F.col("key")))).join(bags.select("bag").distinct().withColumn("word", F.explode("bag")), "word").groupBy("key", "bag").agg(F.count("*").alias("shared"))
+    keys = wanted.select("key").distinct().withColumn("own", _words(F.col("key")))
+    bags = settle(keyed.withColumn("word", F.explode(_words(F.col("key")))).groupBy("tmdb").agg(F.array_sort(F.collect_set("word")).alias("bag")))
+    often = small(settle(bags.select(F.explode("bag").alias("word")).groupBy("word").count().where(F.col("count") > frequent).select("word", F.lit(True).alias("often"))))
+
+    def told_apart(df: DataFrame, key: str, listed: str) -> tuple[DataFrame, DataFrame]:
+        """Rows by rare word, and rows with the set of their frequent words."""
+        flagged = df.withColumn("word", F.explode(listed)).join(often, "word", "left")
+        rare = flagged.where("often is null").drop("often")
+        return rare, flagged.where("often").groupBy(key).agg(F.array_sort(F.collect_set("word")).alias("set"))
+
+    rare_keys, key_sets = told_apart(keys, "key", "own")
+    rare_bags, bag_sets = told_apart(bags, "tmdb", "bag")
+    by_rare = rare_keys.join(rare_bags, "word").select("tmdb", "key", F.size(F.array_intersect("own", "bag")).cast("long").alias("shared")).distinct()
+    of_set = top_k(bag_sets, ["set"], [F.asc("tmdb")], k).select("tmdb", F.col("set").alias("bag_set"))
+    left = key_sets.select("set").distinct().withColumn("word", F.explode("set"))
+    right = bag_sets.select(F.col("set").alias("bag_set")).distinct().withColumn("word", F.explode("bag_set"))
+    met = left.join(right, "word").groupBy("set", "bag_set").agg(F.count("*").alias("shared"))
+    by_set = key_sets.join(met, "set").join(of_set, "bag_set").select("tmdb", "key", "shared")
     equal = top_k(keyed, ["key"], [F.asc("tmdb")], k).select("tmdb", "key", F.lit(1 << 20).cast("long").alias("shared"))
-    found = shared.join(first, "bag").select("tmdb", "key", "shared").unionByName(keys.join(equal, "key").select("tmdb", "key", "shared"))
+    found = by_rare.unionByName(by_set).unionByName(keys.join(equal, "key").select("tmdb", "key", "shared"))
     best = top_k(found.groupBy("key", "tmdb").agg(F.max("shared").alias("shared")), ["key"], [F.desc("shared"), F.asc("tmdb")], k)
     return wanted.join(best, "key").select("title_id", "name", "tmdb", "shared", "rank")
 
@@ -218,18 +240,25 @@ def unknown_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return rows.join(words.select("word").distinct(), "word", "left_anti")
 
 
+#: Patterns that one expression joins.
+PATTERNS = 200
+
+
 def with_release_group(names: DataFrame, groups: DataFrame) -> DataFrame:
     """Names with ``is_group``: whether the word after the last hyphen is a release group.
 
-    ``groups``: name, is_pattern. Literals join; patterns, a short list, match anchored.
+    ``groups``: name, is_pattern. Literals join. Patterns, a vocabulary written
+    by hand, are read into anchored alternations, so that each distinct word is
+    tested where it is and no table of words meets a table of patterns.
     """
     word = N.group_word(F.col("name"))
     literal = groups.where("not is_pattern").select(F.lower("name").alias("literal")).distinct()
-    rules = groups.where("is_pattern").select(F.col("name").alias("rule"))
-    out = names.withColumn("word", word).join(literal, F.lower("word") == F.col("literal"), "left")
-    words = out.where("word is not null and literal is null").select("word").distinct()
-    matched = words.join(F.broadcast(rules), F.expr("word rlike concat('^(?:', rule, ')$')")).select("word", F.lit(True).alias("by_rule")).distinct()
-    return out.join(matched, "word", "left").select(*names.columns, (F.col("literal").isNotNull() | F.coalesce("by_rule", F.lit(False))).alias("is_group"))
+    rules = sorted(r["name"] for r in groups.where("is_pattern").select("name").distinct().collect())
+    out = names.withColumn("word", word).join(small(literal), F.lower("word") == F.col("literal"), "left")
+    by_rule = F.lit(False)
+    for at in range(0, len(rules), PATTERNS):
+        by_rule = by_rule | F.col("word").rlike("^(?:" + "|".join(f"(?:{r})" for r in rules[at : at + PATTERNS]) + ")$")
+    return out.select(*names.columns, (F.col("literal").isNotNull() | F.coalesce(by_rule, F.lit(False))).alias("is_group"))
 
 
 def trailing_drops(names: DataFrame) -> DataFrame:

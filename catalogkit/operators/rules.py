@@ -10,22 +10,22 @@ from pyspark.sql import types as T
 
 from ..functions import figures as G
 from ..functions.constants import MIN_KBPS
-
-# Report columns in order, as key:type with n number, t text, b bool.
-_COLUMNS = """
-title:t kind:t broken:t dolby_vision:b hdr:b hdr_format:t display_pixels:n display_width:n display_height:n
-picture_pixels:n letterbox_px:n audio_channels_max:n bit_depth:n codec:t kbps:n weighted_kbps:n bpp:n res_class:t
-kbps_floor:n subtitle_forced_tracks:n pedigree:t runtime_min:n gb:n pal_speedup:b kept_audio:b extras:t
-container_format:t foreign_tracks:t audio_default_count:n subtitle_default_count:n subtitle_forced_default_count:n
-subtitle_named_forced:n video_language:t tag_structure:t names:t component_rules:t segment_title:t statistics_ratio:n
-hdr_declaration_gap:t dv_record_gap:b episodes_in_file:t profile:t mastering_display:t content_light:t display_aspect:n
-stored_width:n stored_height:n sar:n variable_aspect:t audio_codecs:t audio_tracks:n pix_fmt:t frame_rate:n
-frame_count:n colour_primaries:t colour_transfer:t colour_space:t colour_tagged:b subtitle_codecs:t subtitle_tracks:n
-chapters:n cover_art:n path:t
-"""
-_TYPES = {"n": "number", "t": "text", "b": "bool"}
-#: Report columns and their types, in display order.
-COLUMNS: dict[str, str] = {k: _TYPES[t] for k, t in (c.split(":") for c in _COLUMNS.split())}
+from .settle import small
+
+# Report columns and their types, in display order.
+COLUMNS: dict[str, str] = {
+    "title": "text", "kind": "text", "broken": "text", "dolby_vision": "bool", "hdr": "bool", "hdr_format": "text", "display_pixels": "number",
+    "display_width": "number", "display_height": "number", "picture_pixels": "number", "letterbox_px": "number", "audio_channels_max": "number",
+    "bit_depth": "number", "codec": "text", "kbps": "number", "weighted_kbps": "number", "bpp": "number", "res_class": "text", "kbps_floor": "number",
+    "subtitle_forced_tracks": "number", "pedigree": "text", "runtime_min": "number", "gb": "number", "pal_speedup": "bool", "kept_audio": "bool",
+    "extras": "text", "container_format": "text", "foreign_tracks": "text", "audio_default_count": "number", "subtitle_default_count": "number",
+    "subtitle_forced_default_count": "number", "subtitle_named_forced": "number", "video_language": "text", "tag_structure": "text", "names": "text",
+    "component_rules": "text", "segment_title": "text", "statistics_ratio": "number", "hdr_declaration_gap": "text", "dv_record_gap": "bool",
+    "episodes_in_file": "text", "profile": "text", "mastering_display": "text", "content_light": "text", "display_aspect": "number",
+    "stored_width": "number", "stored_height": "number", "sar": "number", "variable_aspect": "text", "audio_codecs": "text", "audio_tracks": "number",
+    "pix_fmt": "text", "frame_rate": "number", "frame_count": "number", "colour_primaries": "text", "colour_transfer": "text", "colour_space": "text",
+    "colour_tagged": "bool", "subtitle_codecs": "text", "subtitle_tracks": "number", "chapters": "number", "cover_art": "number", "path": "text",
+}
 # Units, and columns that carry no rule.
 UNITS = {"letterbox_px": "px", "kbps": "kbps", "weighted_kbps": "kbps", "kbps_floor": "kbps", "runtime_min": "min", "gb": "GB"}
 UNRULED = ("title", "kind", "broken", "path", "kbps_floor")
@@ -51,63 +51,51 @@ class Rule(NamedTuple):
         return self.gates and not self.repairable and not self.checks
 
 
-# The explicit rules, as key | label | column | method | standard | kind | class | marks | checks
-# (marks: r repairable, g never gates, i ignored by default).
-_EXPLICIT = """
-movie_display_width | Movie display width | display_width | at least | min_display_width | movie | | |
-movie_display_height | Movie display height | display_height | at least | min_display_height | movie | | |
-episode_display_width | Episode display width | display_width | at least | min_display_width | tv | | |
-episode_display_height | Episode display height | display_height | at least | min_display_height | tv | | |
-movie_runtime | Movie runtime | runtime_min | at least | min_runtime_min | movie | | |
-episode_runtime | Episode runtime | runtime_min | at least | min_runtime_min | tv | | |
-letterbox_bars | Letterbox bars | letterbox_px | at most | letterbox_bars_px | | | |
-pal_speedup | PAL speed-up | pal_speedup | absent | | | | |
-kept_audio | Kept-language audio | kept_audio | present | | | | |
-extras_name | Extras name | extras | absent | | | | |
-min_kbps_sd | SD video bitrate | weighted_kbps | at least | min_kbps_sd | | SD | |
-min_kbps_720 | 720p video bitrate | weighted_kbps | at least | min_kbps_720 | | 720 | |
-min_kbps_1080 | 1080p video bitrate | weighted_kbps | at least | min_kbps_1080 | | 1080 | |
-min_kbps_2160 | 2160p video bitrate | weighted_kbps | at least | min_kbps_2160 | | 2160 | |
-max_size_gb | File size | gb | at most | max_size_gb | | | i |
-episodes_in_file | Episodes in file | episodes_in_file | absent | | | | | episodes in file
-dv_record | Dolby Vision record | dv_record_gap | absent | | | | g |
-container | Container | container_format | passes | | | | r | container
-foreign_tracks | Foreign language tracks | foreign_tracks | passes | | | | r | foreign tracks
-default_audio | Default audio tracks | audio_default_count | passes | | | | r | audio default count
-default_subtitles | Default non-forced subtitles | subtitle_default_count | passes | | | | r | subtitle defaults
-forced_default | Default forced subtitles | subtitle_forced_default_count | passes | | | | r | forced subtitle default
-named_forced | Subtitles named forced | subtitle_named_forced | passes | | | | r | forced by name only
-video_language | Video track language | video_language | passes | | | | r | video language
-tag_structure | Tag structure | tag_structure | passes | | | | r | tag structure
-names | Folder and file names | names | passes | | | | r | folder name, file name, show folder, season folder
-component_rules | Path component rules | component_rules | passes | | | | r | component rules
-segment_title | Segment title | segment_title | passes | | | | r | segment title
-stats_ratio_min | Statistics ratio floor | statistics_ratio | above | stats_ratio_min | | | r |
-stats_ratio_max | Statistics ratio ceiling | statistics_ratio | at most | stats_ratio_max | | | r |
-hdr_declaration | HDR declaration gap | hdr_declaration_gap | passes | | | | r | mastering display, content light level
-"""
-
-
-def _explicit() -> list[Rule]:
-    out = []
-    for line in _EXPLICIT.strip().splitlines():
-        key, label, column, method, value, kind, klass, marks, checks = (x.strip() for x in line.split("|"))
-        out.append(
-            Rule(key, label, column, method, value or None, kind or None, klass or None, "r" in marks, "g" not in marks, tuple(c.strip() for c in checks.split(",") if c.strip()), "i" in marks)
-        )
-    return out
+# The explicit rules.
+EXPLICIT = (
+    Rule("movie_display_width", "Movie display width", "display_width", "at least", value_key="min_display_width", kind="movie"),
+    Rule("movie_display_height", "Movie display height", "display_height", "at least", value_key="min_display_height", kind="movie"),
+    Rule("episode_display_width", "Episode display width", "display_width", "at least", value_key="min_display_width", kind="tv"),
+    Rule("episode_display_height", "Episode display height", "display_height", "at least", value_key="min_display_height", kind="tv"),
+    Rule("movie_runtime", "Movie runtime", "runtime_min", "at least", value_key="min_runtime_min", kind="movie"),
+    Rule("episode_runtime", "Episode runtime", "runtime_min", "at least", value_key="min_runtime_min", kind="tv"),
+    Rule("letterbox_bars", "Letterbox bars", "letterbox_px", "at most", value_key="letterbox_bars_px"),
+    Rule("pal_speedup", "PAL speed-up", "pal_speedup", "absent"),
+    Rule("kept_audio", "Kept-language audio", "kept_audio", "present"),
+    Rule("extras_name", "Extras name", "extras", "absent"),
+    Rule("min_kbps_sd", "SD video bitrate", "weighted_kbps", "at least", value_key="min_kbps_sd", klass="SD"),
+    Rule("min_kbps_720", "720p video bitrate", "weighted_kbps", "at least", value_key="min_kbps_720", klass="720"),
+    Rule("min_kbps_1080", "1080p video bitrate", "weighted_kbps", "at least", value_key="min_kbps_1080", klass="1080"),
+    Rule("min_kbps_2160", "2160p video bitrate", "weighted_kbps", "at least", value_key="min_kbps_2160", klass="2160"),
+    Rule("max_size_gb", "File size", "gb", "at most", value_key="max_size_gb", ignored=True),
+    Rule("episodes_in_file", "Episodes in file", "episodes_in_file", "absent", checks=("episodes in file",)),
+    Rule("dv_record", "Dolby Vision record", "dv_record_gap", "absent", gates=False),
+    Rule("container", "Container", "container_format", "passes", repairable=True, checks=("container",)),
+    Rule("foreign_tracks", "Foreign language tracks", "foreign_tracks", "passes", repairable=True, checks=("foreign tracks",)),
+    Rule("default_audio", "Default audio tracks", "audio_default_count", "passes", repairable=True, checks=("audio default count",)),
+    Rule("default_subtitles", "Default non-forced subtitles", "subtitle_default_count", "passes", repairable=True, checks=("subtitle defaults",)),
+    Rule("forced_default", "Default forced subtitles", "subtitle_forced_default_count", "passes", repairable=True, checks=("forced subtitle default",)),
+    Rule("named_forced", "Subtitles named forced", "subtitle_named_forced", "passes", repairable=True, checks=("forced by name only",)),
+    Rule("video_language", "Video track language", "video_language", "passes", repairable=True, checks=("video language",)),
+    Rule("tag_structure", "Tag structure", "tag_structure", "passes", repairable=True, checks=("tag structure",)),
+    Rule("names", "Folder and file names", "names", "passes", repairable=True, checks=("folder name", "file name", "show folder", "season folder")),
+    Rule("component_rules", "Path component rules", "component_rules", "passes", repairable=True, checks=("component rules",)),
+    Rule("segment_title", "Segment title", "segment_title", "passes", repairable=True, checks=("segment title",)),
+    Rule("stats_ratio_min", "Statistics ratio floor", "statistics_ratio", "above", value_key="stats_ratio_min", repairable=True),
+    Rule("stats_ratio_max", "Statistics ratio ceiling", "statistics_ratio", "at most", value_key="stats_ratio_max", repairable=True),
+    Rule("hdr_declaration", "HDR declaration gap", "hdr_declaration_gap", "passes", repairable=True, checks=("mastering display", "content light level")),
+)
 
 
 def rule_list() -> list[Rule]:
     """The explicit rules, and one off by default for every column without one."""
-    explicit = _explicit()
-    ruled = {r.column for r in explicit}
+    ruled = {r.column for r in EXPLICIT}
     generated = [
         Rule(f"col_{c}", c.replace("_", " ").capitalize(), c, "at least" if t == "number" else "is", f"std_{c}", ignored=True, generated=True)
         for c, t in COLUMNS.items()
         if c not in ruled and c not in UNRULED
     ]
-    return explicit + generated
+    return [*EXPLICIT, *generated]
 
 
 # Standards that a profile may replace.
@@ -239,23 +227,24 @@ def broken_rules_long(values: DataFrame, rules: DataFrame, standards: DataFrame,
     """One row per broken value rule.
 
     ``values`` has path, kind, res_class and the numeric ``columns``;
-    ``standards`` has kind, value_key and standard. Rules are a fixed small
-    table, so they are broadcast.
+    ``standards`` has kind, value_key and standard. Rules and standards are
+    counted before they are broadcast.
     """
     long = values.select("path", "kind", F.col("res_class").alias("own_class"), *[F.col(c).cast("double").alias(c) for c in columns])
     long = long.unpivot(["path", "kind", "own_class"], columns, "column", "value").where("value is not null")
     # every rule with the kinds it covers
     scoped = rules.withColumn("on_kind", F.explode(F.when(F.col("kind").isNull(), F.array(F.lit("movie"), F.lit("tv"))).otherwise(F.array("kind")))).drop("kind")
     scoped = scoped.where(~F.col("ignored") & (F.size("checks") == 0))
-    scoped = scoped.join(F.broadcast(standards.select(F.col("kind").alias("on_kind"), "value_key", "standard")), ["on_kind", "value_key"], "left")
-    hit = long.join(F.broadcast(scoped), (long["column"] == scoped["column"]) & (long["kind"] == scoped["on_kind"]) & (scoped["klass"].isNull() | (scoped["klass"] == long["own_class"])))
+    scoped = scoped.join(small(standards.select(F.col("kind").alias("on_kind"), "value_key", "standard")), ["on_kind", "value_key"], "left")
+    scoped = small(scoped)
+    hit = long.join(scoped, (long["column"] == scoped["column"]) & (long["kind"] == scoped["on_kind"]) & (scoped["klass"].isNull() | (scoped["klass"] == long["own_class"])))
     passes = G.rule_passes(F.col("method"), F.col("value").cast("string"), F.col("standard").cast("string"), F.col("type"))
     return hit.where(~passes).select("path", F.col("key").alias("rule"), scoped["column"], "value", "standard", "repairable")
 
 
 def broken_summary(broken: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels joined in order, and whether any rule repairs, per path."""
-    named = broken.join(F.broadcast(labels.select(F.col("key").alias("rule"), "label")), "rule")
+    named = broken.join(small(labels.select(F.col("key").alias("rule"), "label")), "rule")
     out = named.groupBy("path").agg(F.array_sort(F.collect_set("label")).alias("l"), F.max("repairable").alias("repair"), F.count("*").alias("n"))
     return out.select("path", F.array_join("l", ", ").alias("labels"), F.when(F.col("repair"), "repair").otherwise("below").alias("severity"), "n")
 
@@ -266,8 +255,8 @@ def describe_rules(rules: DataFrame, profiles: DataFrame) -> DataFrame:
     ``profiles`` has kind, key and value; rules of both kinds read the movie profile.
     """
     kind = F.coalesce(F.col("kind"), F.lit("movie"))
-    p = F.broadcast(profiles.select(F.col("kind").alias("p_kind"), F.col("key").alias("p_key"), "value"))
-    i = F.broadcast(profiles.select(F.col("kind").alias("i_kind"), F.col("key").alias("i_key"), F.col("value").alias("ignore_value")))
+    p = small(profiles.select(F.col("kind").alias("p_kind"), F.col("key").alias("p_key"), "value"))
+    i = small(profiles.select(F.col("kind").alias("i_kind"), F.col("key").alias("i_key"), F.col("value").alias("ignore_value")))
     out = rules.join(p, (kind == F.col("p_kind")) & (F.col("value_key") == F.col("p_key")), "left")
     out = out.join(i, (kind == F.col("i_kind")) & (F.concat(F.lit("ignore_"), "key") == F.col("i_key")), "left")
     ignored = F.coalesce(F.lower("ignore_value").isin("true", "1", "yes"), F.col("ignored"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import figures as G
 from . import rules, tracks as tracks_ops
+from .settle import small
 
 
 def attributes(files: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -33,10 +34,10 @@ def attributes(files: DataFrame, tracks: DataFrame) -> DataFrame:
 def with_efficiency(files: DataFrame, table: DataFrame) -> DataFrame:
     """The efficiency of each file's codec (codec, efficiency); 1 for a codec that is not listed.
 
-    The table holds one row per codec, so it is broadcast.
+    The table is counted before it is broadcast.
     """
     t = table.select(F.lower("codec").alias("_codec"), F.col("efficiency").alias("_efficiency"))
-    out = files.join(F.broadcast(t), F.lower("codec") == F.col("_codec"), "left")
+    out = files.join(small(t), F.lower("codec") == F.col("_codec"), "left")
     return out.withColumn("efficiency", F.coalesce("_efficiency", F.lit(1.0))).drop("_codec", "_efficiency")
 
 

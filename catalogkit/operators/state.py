@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import figures as G
 from ..functions import names as N
 from ..functions.constants import COMPLETE, PIPELINE, STAGE_LABELS, STOPPED
-from .settle import settle
+from .settle import settle, small
 
 
 def dense_rank_by(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -82,8 +82,8 @@ def queue_positions(titles: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def processing_order(claims: DataFrame) -> DataFrame:
-    """Claims by time; as many as there are workers."""
-    return claims.withColumn("position", F.row_number().over(Window.orderBy("claimed_at", "id")))
+    """Claims by time."""
+    return dense_rank_by(claims, [F.asc("claimed_at"), F.asc("id")], "position")
 
 
 def place(titles: DataFrame, new_ids: DataFrame) -> DataFrame:
@@ -137,16 +137,30 @@ def title_by_job(titles: DataFrame) -> DataFrame:
     return titles.where("job_id is not null").groupBy("job_id").agg(F.max("id").alias("id"))
 
 
+def _place_in(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """Numbers the rows of each group from 0; the ranges that do it may split a group."""
+    numbered = settle(dense_rank_by(df, [F.asc(group), F.asc(order)], "_n"))
+    first = numbered.groupBy(group).agg(F.min("_n").alias("_first"))
+    return numbered.join(first, group).withColumn(name, F.col("_n") - F.col("_first")).drop("_n", "_first")
+
+
 def unique_targets(moves: DataFrame, existing: DataFrame) -> DataFrame:
-    """Target paths made unique by ``.n`` before the ending; ``moves`` has id and target, ``existing`` path."""
+    """Target paths made unique by ``.n`` before the ending; ``moves`` has id and target, ``existing`` path.
+
+    The moves of a target, by id, take its free forms in order: the plain one
+    is number 0, then .1, .2 and so on, less those that exist.
+    """
+    form = r"^(.*?)(?:\.(0|[1-9][0-9]{0,8}))?(\.[^./]*)?$"
+    part = lambda n: F.regexp_extract("path", form, n)
+    numbered = existing.where(part(2) != "").select(F.concat(part(1), part(3)).alias("target"), part(2).cast("long").alias("number")).where("number > 0")
+    wanted = moves.groupBy("target").agg(F.count("*").alias("moves"))
+    taken = settle(existing.select(F.col("path").alias("target"), F.lit(0).cast("long").alias("number")).unionByName(numbered).distinct().join(wanted, "target", "left_semi"))
+    ends = wanted.join(taken.groupBy("target").agg(F.count("*").alias("taken")), "target", "left")
+    numbers = ends.select("target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("moves") + F.coalesce("taken", F.lit(0)) - 1)).alias("number"))
+    free = _place_in(numbers.join(taken, ["target", "number"], "left_anti"), "target", "number", "place")
+    out = _place_in(moves.select("id", "target"), "target", "id", "place").join(free, ["target", "place"])
     base, ending = F.regexp_extract("target", r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract("target", r"^(.*?)(\.[^./]*)?$", 2)
-    taken = existing.select(
-        F.concat(F.regexp_extract("path", r"^(.*?)(?:\.(\d+))?(\.[^./]*)?$", 1), F.regexp_extract("path", r"^(.*?)(?:\.(\d+))?(\.[^./]*)?$", 3)).alias("target"),
-        (F.coalesce(F.regexp_extract("path", r"^(.*?)(?:\.(\d+))?(\.[^./]*)?$", 2).try_cast("int"), F.lit(0)) + 1).alias("n"),
-    ).groupBy("target").agg(F.max("n").alias("used"))
-    n = F.row_number().over(Window.partitionBy("target").orderBy("id")) - 1
-    out = moves.withColumn("n", n).join(taken, "target", "left").withColumn("n", F.col("n") + F.coalesce("used", F.lit(0)))
-    return out.select("id", F.when(F.col("n") == 0, F.col("target")).otherwise(F.concat(base, F.lit("."), F.col("n").cast("string"), ending)).alias("path"))
+    return out.select("id", F.when(F.col("number") == 0, F.col("target")).otherwise(F.concat(base, F.lit("."), F.col("number").cast("string"), ending)).alias("path"))
 
 
 def siblings_in_flight(titles: DataFrame) -> DataFrame:
@@ -176,7 +190,8 @@ def resolve_profile(settings: DataFrame, defaults: DataFrame) -> DataFrame:
     """Kind, key and value; a stored value (its own kind first) beats the default."""
     own = settings.select(F.col("key").alias("own_key"), F.col("value_json").alias("own"))
     shared = settings.select(F.col("key").alias("shared_key"), F.col("value_json").alias("shared"))
-    out = defaults.join(F.broadcast(own), F.concat_ws(".", "key", "kind") == F.col("own_key"), "left").join(F.broadcast(shared), F.col("key") == F.col("shared_key"), "left")
+    own, shared = small(own), small(shared)
+    out = defaults.join(own, F.concat_ws(".", "key", "kind") == F.col("own_key"), "left").join(shared, F.col("key") == F.col("shared_key"), "left")
     return out.select("kind", "key", F.coalesce("own", "shared", "value").alias("value"))
 
 

@@ -115,27 +115,61 @@ def encode_progress(lines: DataFrame) -> DataFrame:
     )
 
 
+#: Changes that are kept apart before they are folded into the stored findings.
+COMPACT = 16
+
+
+def _versions(spark, findings_path: str) -> tuple[int | None, list[int]]:
+    """The version that the findings were last folded into, and those written after it."""
+    log = spark.read.schema("version long, whole boolean").json(f"{findings_path}/log")
+    rows = sorted((r["version"], r["whole"]) for r in log.distinct().collect())
+    base = max((v for v, whole in rows if whole), default=None)
+    return base, [v for v, whole in rows if not whole and (base is None or v > base)]
+
+
+def read_findings(spark, findings_path: str) -> DataFrame | None:
+    """T4: the findings as of the last batch: of each path the newest row; None before the first batch."""
+    base, later = _versions(spark, findings_path)
+    parts = [spark.read.parquet(f"{findings_path}/v{v}").withColumn("_version", F.lit(v)) for v in ([] if base is None else [base]) + later]
+    if not parts:
+        return None
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    columns = [c for c in rows.columns if c not in ("path", "_version")]
+    return rows.groupBy("path").agg(F.max_by(F.struct(*columns), "_version").alias("r")).select("path", "r.*")
+
+
 def continuous_audit(listing: DataFrame, findings_path: str, assess: Callable[[DataFrame], DataFrame], checkpoint: str):
     """T4: files of a listing stream that are new or changed are assessed and put over the stored findings.
 
-    Each batch writes a new version next to the old one and then names it
-    current, so a failed batch leaves the last version whole.
+    A batch writes its changed rows only, as a version of their own, and then
+    names it in a log, so a failed batch leaves the findings as they were. After
+    COMPACT versions they are folded into one, and those before it are emptied.
+    ``read_findings`` gives the findings.
     """
+    log = f"{findings_path}/log"
+    listing.sparkSession.createDataFrame([], "version long, whole boolean").write.mode("append").json(log)
 
-    log = f"{findings_path}/current"
-    listing.sparkSession.createDataFrame([], "version long").write.mode("append").json(log)
+    def named(spark, version: int, whole: bool) -> None:
+        spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(whole).alias("whole")).write.mode("append").json(log)
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        now = spark.read.schema("version long").json(log).agg(F.max("version")).first()[0]
-        if now is not None and now > epoch:  # a repeated batch is already in
+        base, later = _versions(spark, findings_path)
+        # even versions are changes, odd ones are folded
+        version = 2 * epoch
+        if max([-1 if base is None else base, *later]) >= version:  # a repeated batch is already in
             return
-        stored = spark.read.parquet(f"{findings_path}/v{now}") if now is not None else None
+        stored = read_findings(spark, findings_path)
         fresh = batch if stored is None else audit.unseen_files(batch, stored)
-        changes = assess(fresh)
-        whole = changes if stored is None else audit.upsert_by_key(stored, changes, "path")
-        whole.write.mode("overwrite").parquet(f"{findings_path}/v{epoch + 1}")
-        spark.range(1).select(F.lit(epoch + 1).cast("long").alias("version")).write.mode("append").json(log)
+        assess(fresh).write.mode("overwrite").parquet(f"{findings_path}/v{version}")
+        named(spark, version, False)
+        if len(later) + 1 >= COMPACT:
+            read_findings(spark, findings_path).write.mode("overwrite").parquet(f"{findings_path}/v{version + 1}")
+            named(spark, version + 1, True)
+            for old in [*later, version] + ([] if base is None else [base]):
+                spark.read.parquet(f"{findings_path}/v{version + 1}").limit(0).write.mode("overwrite").parquet(f"{findings_path}/v{old}")
 
     return listing.writeStream.option("checkpointLocation", checkpoint).foreachBatch(upsert).start()
 

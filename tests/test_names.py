@@ -32,6 +32,15 @@ def one(spark, expr, **values):
         (N.to_part_suffix, "Pilot (2)", "Pilot, Part 2"),
         (N.to_part_suffix, "Rising, Part Two", "Rising, Part 2"),
         (N.to_part_suffix, "Part 1", "Part 1"),
+        (N.to_part_suffix, "Rising (Part Two)", "Rising, Part 2"),
+        (N.to_part_suffix, "Rising - pt. 3", "Rising, Part 3"),
+        (N.to_part_suffix, "Counterpart 2", "Counterpart 2"),
+        (N.strip_release_tag, "Film (2160p)(x265)(dts)(atmos)(7.1)", "Film"),
+        (N.strip_release_tag, "Film (Extras) (2160p) [kept] (x265)", "Film (Extras) (2160p) [kept]"),
+        (N.strip_leading_fields, "[a][b] [c] (d)[e] 1080p Movie", "Movie"),
+        (N.strip_leading_fields, "(1999) Movie", "(1999) Movie"),
+        (N.tidy_name, " - A -  B ( ) -", "A B"),
+        (N.season_from_folder, "Show/Season 3 extra/x.mkv", None),
         (N.strip_release_tag, "Title (1080p BluRay) [x264]", "Title"),
         (N.cut_release_fields, "Some.Movie.1080p.WEB-DL", "Some Movie"),
         (N.cut_release_fields, "1080p.Movie", ""),
@@ -70,6 +79,22 @@ def test_examples(spark, f, s, want):
         ("Show S01E01 - Parts 1-2", None, (1, 1, 2, False)),
         ("Movie 1999 1080p", None, None),
         ("Show 2x05", None, (2, 5, 5, False)),
+        ("Show s1e2-e3", None, (1, 2, 3, False)),
+        ("Show S01E02-03", None, (1, 2, 3, False)),
+        ("Show S01E02 and 03", None, (1, 2, 3, False)),
+        ("Show S01E02toE04", None, (1, 2, 4, False)),
+        ("Show S01E05-E02", None, (1, 5, 5, False)),
+        ("Show 1x02-1x03", None, (1, 2, 3, False)),
+        ("Show.1x02.to.03", None, (1, 2, 2, False)),
+        ("Show Season 3 Episode 12", None, (3, 12, 12, False)),
+        ("ShowS01E02", None, None),
+        ("Movie 1920x1080", None, None),
+        ("12 - Title.mkv", 4, (4, 12, 12, False)),
+        ("112 - Title.mkv", 4, (4, 112, 112, True)),
+        ("E07.mkv", 2, (2, 7, 7, False)),
+        ("Show h.264 Title", None, None),
+        ("Show - 105", None, (1, 5, 5, True)),
+        ("Show 105 1999", None, None),
     ],
 )
 def test_episode_numbers(spark, name, season, want):
@@ -88,6 +113,11 @@ def test_readings(spark):
     assert ("Movie", 1999) in [(r.name, r.year) for r in out]
 
 
+def test_release_groups_in_brackets(spark):
+    got = one(spark, N.strip_release_tag(F.col("s"), F.array(F.lit("grp"))), s="Film (GRP) [x264]")
+    assert got == "Film"
+
+
 def test_codes(spark):
     assert one(spark, N.episode_code(F.lit(5), F.lit(1), F.lit(2))) == "S05E01-E02"
     assert one(spark, N.movie_folder(F.lit("A: B"), F.lit(1999), F.lit("7"), F.lit("8"))) == "A B (1999) [tmdbid-7] [imdbid-tt8]"
