@@ -165,7 +165,7 @@ def test_progress_stream_equals_batch(spark, tmp_path):
     assert want[0] == (1, 60, 5.0, 10, "continue") and sorted(map(tuple, got.collect())) == want
 
 
-def test_continuous_audit(spark, tmp_path):
+def test_continuous_audit(spark, tmp_path, monkeypatch):
     rows = lambda *r: spark.createDataFrame(r, "path string, size long, mtime double")
     source, seen = str(tmp_path / "listing"), []
 
@@ -183,9 +183,16 @@ def test_continuous_audit(spark, tmp_path):
     step(rows(("a", 1, 1.0), ("b", 1, 1.0)))
     step(rows(("a", 1, 1.0), ("b", 2, 2.0), ("c", 1, 1.0)))
     assert seen == [2, 2]
-    now = spark.read.schema("version long").json(str(tmp_path / "findings/current")).agg(F.max("version")).first()[0]
-    found = spark.read.parquet(str(tmp_path / f"findings/v{now}"))
-    assert sorted((r.path, r.size) for r in found.collect()) == [("a", 1), ("b", 2), ("c", 1)]
+    found = lambda: sorted((r.path, r.size) for r in jobs.read_findings(spark, str(tmp_path / "findings")).collect())
+    assert found() == [("a", 1), ("b", 2), ("c", 1)]
+    # a version holds what changed, and folded versions are emptied
+    assert spark.read.parquet(str(tmp_path / "findings/v2")).count() == 2
+    monkeypatch.setattr(jobs, "COMPACT", 3)
+    step(rows(("d", 1, 1.0)))
+    assert found() == [("a", 1), ("b", 2), ("c", 1), ("d", 1)]
+    assert [spark.read.parquet(str(tmp_path / f"findings/v{v}")).count() for v in (0, 2, 4, 5)] == [0, 0, 0, 4]
+    step(rows(("a", 9, 9.0)))
+    assert found() == [("a", 9), ("b", 2), ("c", 1), ("d", 1)]
 
 
 def test_retry_timers(spark, tmp_path):
@@ -216,3 +223,78 @@ def test_search_by_frequent_words(spark):
     more = names.selectExpr("tmdb", "name").union(spark.createDataFrame([("9999", "green houses tall")], "tmdb string, name string"))
     one = resolve.scored_candidates(spark.createDataFrame([(7, "green hauses tall")], "title_id long, name string"), more).collect()
     assert ("9999", 7) in {(r.tmdb, r.title_id) for r in one}
+
+
+def test_unique_targets(spark):
+    moves = [(1, "q/a.mkv"), (2, "q/a.mkv"), (3, "q/b.mkv"), (4, "q/b.mkv"), (5, "q/none"), (6, "q/none"), (7, "q/c.mkv")]
+    existing = ["q/a.mkv", "q/a.2.mkv", "q/b.2.mkv", "q/b.02.mkv", "q/none", "q/x.mkv"]
+    out = state.unique_targets(spark.createDataFrame(moves, "id long, target string"), spark.createDataFrame([(e,) for e in existing], "path string"))
+    want, seen = {}, set(existing)
+    for i, target in moves:
+        base, dot, ending = target.rpartition(".") if "." in target else (target, "", "")
+        n, path = 0, target
+        while path in seen:
+            n += 1
+            path = f"{base}.{n}{dot}{ending}"
+        seen.add(path)
+        want[i] = path
+    assert {r.id: r.path for r in out.collect()} == want
+    claims = spark.createDataFrame([(3, 5.0), (1, 5.0), (2, 1.0)], "id long, claimed_at double")
+    assert {r.id: r.position for r in state.processing_order(claims).collect()} == {2: 1, 1: 2, 3: 3}
+
+
+def test_search_counts_frequent_words(spark):
+    """A reading of frequent words only meets its names, and the result is that of counting every shared word."""
+    import random
+
+    draw = random.Random(5)
+    vocabulary = ["old", "house", "number", *(f"w{i}" for i in range(40))]
+    named = [(str(i), " ".join(draw.sample(vocabulary[:3], draw.randint(0, 3)) + draw.sample(vocabulary[3:], draw.randint(0, 2)))) for i in range(200)]
+    reads = [(i, " ".join(draw.sample(vocabulary[:3], draw.randint(0, 3)) + draw.sample(vocabulary[3:], draw.randint(0, 2)))) for i in range(60)] + [(99, "old house")]
+    names = spark.createDataFrame(named, "tmdb string, name string")
+    got = {}
+    for r in resolve.search_candidates(spark.createDataFrame(reads, "title_id long, name string"), names, frequent=20).collect():
+        got.setdefault((r.title_id, r.name), []).append((r["rank"], r.tmdb))
+    for i, name in reads:
+        words = set(name.split())
+        key = lambda n: " ".join(n.split())
+        scored = sorted((-(1 << 20 if key(n) == key(name) else len(words & set(n.split()))), t) for t, n in named if (words & set(n.split())) or key(n) == key(name))
+        assert [t for _, t in sorted(got.get((i, name), []))] == [t for _, t in scored[:10]], name
+    assert got[(99, "old house")]
+
+
+def test_fuzzy_equals_brute_force(spark):
+    """Blocked fuzzy matches are those of comparing every pair, with the arguments in their order."""
+    import difflib
+    import random
+
+    from catalogkit.operators import episodes
+
+    draw = random.Random(3)
+    vocabulary = "the night of king a day stone winter rising dark fall light part".split()
+    titles = [" ".join(draw.choices(vocabulary, k=draw.randint(1, 4))) for _ in range(120)] + ["a", "ab", "abc", "b"]
+    catalogue = [(draw.choice("xy"), i % 3, i, i, t, 20) for i, t in enumerate(titles)]
+
+    def changed(t):
+        t = list(t)
+        for _ in range(draw.randint(0, 4)):
+            i = draw.randrange(len(t) + 1)
+            t[i : i + draw.randint(0, 1)] = draw.choice("abcdeilnorst ")
+        return "".join(t)
+
+    probes = [(i, draw.choice("xy"), changed(draw.choice(titles))) for i in range(150)] + [(900, "x", "a"), (901, "x", ""), (902, "z", "night")]
+    c = spark.createDataFrame(catalogue, "show string, season int, episode int, ordinal int, title string, runtime int")
+    for cutoff in (0.82, 0.6):
+        got = {r.probe_id: (r.hit.title, round(r.score, 6)) for r in episodes.match_fuzzy(spark.createDataFrame(probes, "probe_id long, show string, text string"), c, cutoff).collect()}
+        want, key = {}, lambda s: " ".join(s.split()).removeprefix("the ") if s.strip() != "the" else "the"
+        for i, show, text in probes:
+            options = {}
+            for s, *_, t, _ in sorted(catalogue, key=lambda r: -r[3]):
+                if s == show:
+                    options[key(t)] = t
+            near = [(difflib.SequenceMatcher(None, k, key(text)).ratio(), k) for k in options]
+            near = [x for x in near if x[0] >= cutoff]
+            if near:
+                k = max(near)[1]
+                want[i] = (options[k], round(difflib.SequenceMatcher(None, key(text), k).ratio(), 6))
+        assert got == want
