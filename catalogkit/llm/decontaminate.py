@@ -1,9 +1,9 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Texts are normalised to lower-case words. Every window of ``window`` words of
-an item is a pattern, and its letters are words: each benchmark word is given
-one symbol, so the automaton of all patterns has one node per word and reads
-each document once. Matches are word ranges, and word ranges map back to code
+an item is a pattern. Each benchmark word is given a short code of few letters,
+so the automaton of all patterns needs two or three nodes a word and reads each
+document once. Matches are word ranges, and word ranges map back to code
 points of the original text.
 
 A Python worker builds the automaton once, from a broadcast of the benchmark's
@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -36,8 +37,8 @@ from . import common
 from .arrowtext import code_points, map_rows, texts
 
 WINDOW = 13
-#: Nodes of one automaton at most (some 50 bytes each), and bytes of benchmark words that it is built from.
-MAX_NODES = 4_000_000
+#: Nodes of one automaton at most (some 50 bytes each), counted as four for each word of a window, and bytes of benchmark words that it is built from.
+MAX_NODES = 6_000_000
 MAX_BYTES = 32 << 20
 #: Words of an item that are dealt to a part together; neighbours overlap by a window less one word.
 PIECE = 4096
@@ -50,19 +51,35 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
+#: Letters of a word's code: few, as the automaton looks a letter up among all that follow a node.
+BASE = 16
+
+
+def _code(n: int, length: int) -> str:
+    """The n-th code: its first letter is from one alphabet and the others from another, so that codes only match where words begin."""
+    out = ""
+    for place in range(length):
+        n, digit = divmod(n, BASE)
+        out += chr(1 + digit if place == 0 else 1 + BASE + digit)
+    return out
+
+
 class Matcher:
-    """The automaton over words, and the symbol of each benchmark word (from 1 on; 0 is any other word)."""
+    """The automaton over words: each benchmark word is a code of equal length, any other word a code of zeros."""
 
     def __init__(self, pieces: list[tuple[str, bytes]], size: int):
-        self.symbols: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        vocabulary = sorted({w for _, line in pieces for w in line.split()})
+        self.length = length = next(k for k in range(1, 8) if BASE**k >= max(len(vocabulary), 1))
+        self.codes = {w: _code(n, length) for n, w in enumerate(vocabulary)}
+        self.other = "\0" * length
+        found: dict[tuple[bytes, ...], set[str]] = {}
         for item, line in pieces:
-            codes = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in line.split()]
-            for i in range(max(1, len(codes) - size + 1) if codes else 0):
-                found.setdefault(tuple(codes[i : i + size]), set()).add(item)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for codes, ids in found.items():
-            self.automaton.add_word(codes, (len(codes), tuple(sorted(ids))))
+            words = line.split()
+            for i in range(max(1, len(words) - size + 1) if words else 0):
+                found.setdefault(tuple(words[i : i + size]), set()).add(item)
+        self.automaton = ahocorasick.Automaton()
+        for words, ids in found.items():
+            self.automaton.add_word("".join(map(self.codes.get, words)), (len(words), tuple(sorted(ids))))
         if found:
             self.automaton.make_automaton()
 
@@ -70,11 +87,9 @@ class Matcher:
         """(first word, end, item ids) of each occurrence of a window."""
         if not words or not len(self.automaton):
             return []
-        symbol = self.symbols.get
-        codes = tuple([symbol(w, 0) for w in words])
-        if not any(codes):
-            return []
-        return [(end + 1 - n, end + 1, ids) for end, (n, ids) in self.automaton.iter(codes)]
+        line = "".join(map(self.codes.get, words, repeat(self.other)))
+        ends = [((at + 1) // self.length, n, ids) for at, (n, ids) in self.automaton.iter(line)]
+        return [(end - n, end, ids) for end, n, ids in ends]
 
 
 #: The matcher that this Python worker built last, by the token of its benchmark; ``BUILDS`` counts how often it built one.
@@ -137,7 +152,7 @@ def benchmark_pieces(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 def parts_of(pieces: DataFrame, size: int, most: int) -> int:
     """Into how many parts the pieces must be dealt so that each keeps to the bounds."""
     words, size_bytes = pieces.agg(F.sum("n"), F.sum(F.octet_length("line"))).first()
-    return max(1, math.ceil((words or 0) * size / most), math.ceil((size_bytes or 0) / MAX_BYTES))
+    return max(1, math.ceil((words or 0) * size * 4 / most), math.ceil((size_bytes or 0) / MAX_BYTES))
 
 
 _SPANS = "array<struct<first:long,last:long,start:long,end:long>>"

@@ -35,7 +35,7 @@ def test_decontamination(spark, docs_of):
     a = " ".join(f"ALPHA{i}," for i in range(20))
     rows = [(20, "start " + a + " end"), (21, a[:120]), (22, "A short--item é short item"), (23, "again " * 40), (24, "shorts item")] + EDGES
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for most in (4_000_000, 200, 60):
+    for most in (6_000_000, 600, 180):
         got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r["items"]) for r in decontaminate.find(docs_of(rows), bench, most=most).collect())
         assert got == sorted((i is None, i or 0, *plain_hits(t, ITEMS)) for i, t in rows)
     spans = {r.doc_id: r.spans for r in decontaminate.find(docs_of(rows), bench).collect()}
@@ -45,10 +45,10 @@ def test_decontamination(spark, docs_of):
     assert 20 not in kept and {1, 2, 24, 7} <= kept
     assert decontaminate.find(docs_of([]), bench).count() == 0
     assert decontaminate.clean(docs_of(rows), bench.where("false")).count() == len(rows)
-    several = sorted(decontaminate.clean(docs_of(rows), bench, most=60).collect(), key=str)
+    several = sorted(decontaminate.clean(docs_of(rows), bench, most=180).collect(), key=str)
     assert several == sorted(decontaminate.clean(docs_of(rows), bench).collect(), key=str)
     spans_of = lambda **more: sorted(decontaminate.find(docs_of(rows), bench, **more).select("doc_id", "spans").collect(), key=str)
-    assert spans_of(most=60) == spans_of()
+    assert spans_of(most=180) == spans_of()
 
 
 def test_long_items_and_one_build_per_part(monkeypatch):
