@@ -212,7 +212,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float =
     taken = common.cut(taken.where("copies > 0").select(F.struct(*[F.col(c).alias(c) for c in (*key, "copies", "n", "size", "source_size", "target")]).alias("mix")))
     rows = docs.select(F.struct("*").alias("row"))
     own = F.col("row.doc_id").cast("long").eqNullSafe(F.col("mix.doc_id")) & F.col("row.source").eqNullSafe(F.col("mix.source")) & (_mark(F.col("row.text")) == F.col("mix.mark"))
-    met = rows.join(common.small_or_not(taken), own).select("row", "mix")
+    # nearly every document is taken: both sides are of the corpus's size
+    met = rows.join(taken, own).select("row", "mix")
     out = met.where("mix.n = 1")
     if not taken.where("mix.n > 1").isEmpty():
         plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
