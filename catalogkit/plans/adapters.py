@@ -120,6 +120,6 @@ def with_views(sql: str) -> str:
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     parts = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in used)
     body = sql.strip()
-    if body.upper().startswith("WITH "):
+    if used and body.upper().startswith("WITH "):
         return f"WITH {parts},\n{body[5:]}"
     return f"WITH {parts}\n{body}" if used else body

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,30 +11,8 @@ from ..functions.constants import CODEC_EFFICIENCY
 from ..operators import audit, compare, crops, episodes, resolve, rules, standards, state, tracks, verify
 from ..sources import readers
 from ..streaming import jobs
-from .adapters import view, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            # these column names are words of the other engine's grammar
-            ORACLES[name] = with_views(re.sub(r"(?<![\w\".'])(show|at)\b(?! least| most)", r'"\1"', sql))
-        return f
-
-    return add
-
-
-# Pieces of SQL that several queries share.
-EFFICIENCY = "CASE lower(codec) WHEN 'h264' THEN 1.0 WHEN 'avc' THEN 1.0 WHEN 'hevc' THEN 1.7 WHEN 'h265' THEN 1.7 WHEN 'av1' THEN 2.2 WHEN 'vc1' THEN 0.9 WHEN 'mpeg4' THEN 0.7 WHEN 'msmpeg4v3' THEN 0.7 WHEN 'mpeg2video' THEN 0.45 ELSE 1.0 END"
-WEIGHTED = f"CAST(NULLIF(bitrate, 0) AS DOUBLE) * CAST({EFFICIENCY} AS DOUBLE)"
-CLASS = "CASE WHEN width * sar >= 3200 OR height >= 1800 THEN '2160' WHEN width * sar >= 1600 OR height >= 900 THEN '1080' WHEN width * sar >= 1100 OR height >= 700 THEN '720' ELSE 'SD' END"
-KEPT = "lower(coalesce(language, 'und')) IN ('eng', 'en', 'und')"
-NAMED = r"coalesce(regexp_matches(lower(name), '(^|[^a-z0-9])forced([^a-z0-9]|$)') AND NOT regexp_matches(lower(name), '(^|[^a-z0-9])(non|not|no|un)[\s_.-]*forced'), false)"
-
+from .adapters import view
+from .base import CLASS, EFFICIENCY, KEPT, NAMED, ORACLES, QUERIES, WEIGHTED, query
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "v_file")
@@ -547,25 +522,12 @@ def s14(spark, d):
     return state.insert_sources(t.where("id % 2 <> 0"), t, 0.0)[0].select("id", "source_path", "stage")
 
 
-@query("j7_resolve_profile", "SELECT k AS kind, key, CASE WHEN key = 'min_runtime_min' AND k = 'movie' THEN '40' WHEN key = 'grain_threshold' AND k = 'tv' THEN '0.2' WHEN key = 'max_size_gb' THEN '12.5' ELSE '0' END AS value FROM (VALUES ('movie'), ('tv')) a(k), (VALUES ('min_runtime_min'), ('grain_threshold'), ('max_size_gb')) b(key)")
-def j7(spark, d):
-    defaults = spark.createDataFrame([(k, key, "0") for k in ("movie", "tv") for key in ("min_runtime_min", "grain_threshold", "max_size_gb")], "kind string, key string, value string")
-    return state.resolve_profile(view(spark, d, "v_setting"), defaults)
-
-
 @query("j19_supersede", "SELECT id, CASE WHEN id % 6 = 0 THEN 'QUARANTINED' ELSE stage END AS stage FROM v_title")
 def j19(spark, d):
     t = view(spark, d, "v_title").withColumn("output_path", F.concat(F.lit("out/"), F.col("id").cast("string")))
     return state.supersede(t, t.where("id % 6 = 0").select(F.array("output_path").alias("supersedes"))).select("id", "stage")
 
 
-@query("w17_unique_targets", "SELECT id, 'q/' || show || CASE WHEN n = 0 THEN '' ELSE '.' || n END || '.mkv' AS path FROM (SELECT id, show, row_number() OVER (PARTITION BY show ORDER BY id) - 1 + CASE WHEN show = 'Show 5' THEN 3 ELSE 0 END AS n FROM v_title WHERE kind = 'tv')")
-def w17(spark, d):
-    moves = view(spark, d, "v_title").where("kind = 'tv'").select("id", F.concat(F.lit("q/"), "show", F.lit(".mkv")).alias("target"))
-    existing = spark.createDataFrame([("q/Show 5.mkv",), ("q/Show 5.2.mkv",)], "path string")
-    return state.unique_targets(moves, existing)
-
-
 # Audit
 
 @query("j17_unseen_files", "SELECT l.path FROM v_listing l WHERE NOT EXISTS (SELECT 1 FROM v_finding f WHERE f.path = l.path AND f.size = l.size AND f.mtime = l.mtime AND f.measured)")
@@ -727,19 +689,8 @@ def p14(spark, d):
     return view(spark, d, "v_name").select("name_id", G.pedigree(F.col("name")).alias("pedigree"))
 
 
-@query(
-    "f19_parse_episode",
-    r"""WITH m AS (SELECT name_id, name, regexp_extract(name, '(?i)(?:^|[^a-z0-9])s(\d{1,2})[\s._-]*e(\d{1,3})-e(\d{1,3})', ['s', 'f', 'l']) AS r, regexp_extract(name, '(?i)(?:^|[^a-z0-9])s(\d{1,2})[\s._-]*e(\d{1,3})', ['s', 'f']) AS g FROM v_name WHERE name_id % 6 IN (2, 3))
-SELECT name_id, CAST(g.s AS BIGINT) AS season, CAST(g.f AS BIGINT) AS first, CASE WHEN r.s <> '' AND try_cast(r.l AS BIGINT) >= try_cast(r.f AS BIGINT) THEN CASE WHEN try_cast(r.l AS BIGINT) - try_cast(r.f AS BIGINT) + 1 > 3 THEN try_cast(r.f AS BIGINT) ELSE try_cast(r.l AS BIGINT) END ELSE CAST(g.f AS BIGINT) END AS last FROM m""",
-)
+@query("f19_parse_episode")
 def f19(spark, d):
-    n = view(spark, d, "v_name").where("name_id % 6 in (2, 3)")
-    p = n.withColumn("p", N.parse_episode(F.col("name")))
-    return p.select("name_id", *[F.col(f"p.{c}").cast("long").alias(c) for c in ("season", "first", "last")])
-
-
-@query("f19_parse_episode_all")
-def f19_all(spark, d):
     p = view(spark, d, "v_name").withColumn("p", N.parse_episode(F.col("name")))
     return p.select("name_id", *[F.col(f"p.{c}").cast("long").alias(c) for c in ("season", "first", "last")])
 
@@ -914,16 +865,15 @@ def a21(spark, d):
     return resolve.best_guess(rows.withColumn("score", score)).select("title_id", "tmdb")
 
 
-@query("j2_movie_incumbents", "SELECT p_partkey AS title_id, p_name || ' (' || (1950 + p_size) || ') [tmdbid-' || p_partkey || '] [imdbid-tt' || (1000000 + p_partkey) || ']' AS folder, 'id' AS \"by\" FROM part WHERE p_partkey % 6 = 1")
+@query(
+    "j2_movie_incumbents",
+    r"""WITH n AS (SELECT name_id AS i, name, NULLIF(regexp_extract(name, '\[tmdbid-(\d+)\]', 1), '') AS t, NULLIF(regexp_extract(name, '\[imdbid-(tt\d+)\]', 1), '') AS m, regexp_extract(name, '^(.*?\(\d{4}\))', 1) AS k FROM v_name),
+q AS (SELECT f.file_id AS i, f.title || ' (' || f.year || ')' AS k, CASE f.file_id % 5 WHEN 0 THEN CAST(f.file_id AS VARCHAR) WHEN 2 THEN '0' WHEN 3 THEN '0' END AS t, CASE WHEN f.file_id % 5 IN (1, 2) THEN 'tt' || (1000000 + f.file_id) END AS m FROM v_file f),
+by_id AS (SELECT q.i, min(n.name) AS folder FROM q JOIN n ON n.t = q.t OR (n.m = q.m AND NOT coalesce(q.t <> n.t, false)) GROUP BY q.i),
+by_name AS (SELECT q.i, min(n.name) AS folder FROM q JOIN n ON n.k = q.k AND NOT coalesce(q.t <> n.t, false) AND NOT coalesce(q.m <> n.m, false) WHERE q.i NOT IN (SELECT i FROM by_id) GROUP BY q.i)
+SELECT i AS title_id, folder, 'id' AS "by" FROM by_id UNION ALL SELECT i, folder, 'name' FROM by_name""",
+)
 def j2(spark, d):
-    n = view(spark, d, "v_name").where("name_id % 6 = 1").select("name_id", F.col("name").alias("folder"))
-    ids = n.select(F.col("name_id").alias("title_id"), F.lit("x").alias("title"), F.lit(1999).alias("year"), F.col("name_id").cast("string").alias("tmdb"), F.lit(None).cast("string").alias("imdb"))
-    files = n.select("folder", F.concat("folder", F.lit(".mkv")).alias("name"))
-    return resolve.movie_incumbents(ids, n.select("folder"), files).select("title_id", "folder", "by")
-
-
-@query("j2_movie_incumbents_all")
-def j2_all(spark, d):
     n = view(spark, d, "v_name").select("name_id", F.col("name").alias("folder"))
     i, none = F.col("name_id"), F.lit(None).cast("string")
     tmdb = F.when(i % 5 == 0, i.cast("string")).when(i % 5 == 2, "0").when(i % 5 == 3, "0")
@@ -969,16 +919,6 @@ def p42(spark, d):
     return verify.tag_problems_movie(_tags(spark, d), expected).select("path", F.array_join("problems", "; ").alias("problems"))
 
 
-@query("u4_missing_targets", "SELECT 'f/' || file_id AS path, 'COLLECTION' AS missing FROM v_file")
-def u4(spark, d):
-    return verify.missing_targets(_tags(spark, d), ("MOVIE", "COLLECTION")).select("path", F.array_join("missing", ",").alias("missing"))
-
-
-@query("u6_carry_forward", "SELECT 'f/' || file_id AS path, 'NOTE' AS name, 'kept' AS value FROM v_file")
-def u6(spark, d):
-    return verify.carry_forward(_tags(spark, d))
-
-
 @query("p30_movie_naming")
 def p30(spark, d):
     path = F.concat_ws("/", F.lit("lib"), F.concat("title", F.lit(" ("), F.col("year").cast("string"), F.lit(")")), F.concat("title", F.lit(".mkv")))
@@ -992,13 +932,8 @@ def p31(spark, d):
     return audit.tv_naming_checks(rows).select("file_id", F.inline("checks")).select("file_id", "check", "expected", "actual", "ok")
 
 
-@query("p32_component_check", r"SELECT name_id, NOT (regexp_matches(name, '[:?]') OR regexp_matches(name, '[. ]$') OR regexp_matches(name, ' /')) AS ok FROM v_name WHERE name_id % 6 <> 4")
+@query("p32_component_check", r"SELECT name_id, NOT (regexp_matches(name, '[:?]') OR regexp_matches(name, '[. ]$') OR regexp_matches(name, ' /')) AS ok FROM v_name")
 def p32(spark, d):
-    return view(spark, d, "v_name").where("name_id % 6 <> 4").select("name_id", audit.component_check(F.col("name"), F.lit("movie"))["ok"].alias("ok"))
-
-
-@query("p32_component_check_all")
-def p32_all(spark, d):
     return view(spark, d, "v_name").select("name_id", audit.component_check(F.col("name"), F.lit("movie"))["ok"].alias("ok"))
 
 
@@ -1041,3 +976,7 @@ def t3(spark, d):
     lines = F.array(F.concat(F.lit("frame="), F.col("size").cast("string")), F.lit("fps=25"), F.lit("total=1000000"), F.lit("progress=continue"))
     rows = e.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("title_id"), "event_id", F.posexplode(lines).alias("i", "line"))
     return jobs.progress_blocks(rows.select("title_id", (F.col("event_id") * 4 + F.col("i")).alias("seq"), "line"))
+
+
+# the other groups register themselves
+from . import identity, probes, reports, titles  # noqa: E402, F401

@@ -13,14 +13,14 @@ def names(spark):
 
 
 def test_components(spark):
-    got = {r.name_id: r.ok for r in Q.QUERIES["p32_component_check_all"](spark, SF).collect()}
+    got = {r.name_id: r.ok for r in Q.QUERIES["p32_component_check"](spark, SF).collect()}
     bad = lambda part: bool(re.search(r'[\x00-\x1f\\/:*?"<>|]|[. ]$', part))
     assert got == {i: not any(map(bad, n.split("/")[-2:])) for i, n in names(spark).items()}
     assert {got[i] for i in got if i % 6 == 4} == {False}
 
 
 def test_episodes(spark):
-    got = {r.name_id: (r.season, r.first, r.last) for r in Q.QUERIES["f19_parse_episode_all"](spark, SF).collect()}
+    got = {r.name_id: (r.season, r.first, r.last) for r in Q.QUERIES["f19_parse_episode"](spark, SF).collect()}
     want = {}
     for i, n in names(spark).items():
         m = re.search(r"S(\d\d)E(\d\d)(?:-E(\d\d))?", n)
@@ -29,7 +29,7 @@ def test_episodes(spark):
 
 
 def test_incumbents(spark):
-    got = {r.title_id: (r.folder, r.by) for r in Q.QUERIES["j2_movie_incumbents_all"](spark, SF).collect()}
+    got = {r.title_id: (r.folder, r.by) for r in Q.QUERIES["j2_movie_incumbents"](spark, SF).collect()}
     every, titles = names(spark), {r.file_id: (r.title, r.year) for r in view(spark, SF, "v_file").collect()}
     ids = {f: (re.search(r"\[tmdbid-(\d+)\]", f), re.search(r"\[imdbid-(tt\d+)\]", f)) for f in every.values()}
     ids = {f: tuple(m and m[1] for m in both) for f, both in ids.items()}
