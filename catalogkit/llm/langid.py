@@ -50,8 +50,8 @@ SAMPLE_ROWS = 2000
 LANGUAGE_ROWS, LANGUAGES = 20, 256
 #: The background's name, and the share of a uniform spread in it.
 UNKNOWN, UNIFORM = "und", 0.9
-#: Trigrams that a text counts for at most.
-EVIDENCE = 24.0
+#: Trigrams that a text counts for at most: in its posterior, and in the model of what it declares.
+EVIDENCE, SHARE_OF_MODEL = 24.0, 2000.0
 #: Pseudo-counts of a parent's prior in its child's.
 SUFFIX_WEIGHT, HOST_WEIGHT = 20.0, 10.0
 #: Posterior below which a row is rejected.
@@ -114,10 +114,13 @@ def fit_text(rows: DataFrame, markup: bool = False, per_language: int = SAMPLE_R
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         code, row = _trigrams(batch, "text", markup)
         which = np.array([place[d] for d in batch.column(1).to_pylist()], np.int64)
-        keys, n = np.unique(which[row] * BUCKETS + code, return_counts=True)
+        size = np.bincount(row, minlength=batch.num_rows)
+        weight = np.minimum(size, SHARE_OF_MODEL) / np.maximum(size, 1)
+        keys, at = np.unique(which[row] * BUCKETS + code, return_inverse=True)
+        n = np.bincount(at, weights=weight[row], minlength=len(keys))
         return pa.RecordBatch.from_arrays([pa.array(keys // BUCKETS), pa.array(keys % BUCKETS), pa.array(n)], ["language", "bucket", "n"])
 
-    counted = map_rows(sample, "text", count, "language long, bucket long, n long")
+    counted = map_rows(sample, "text", count, "language long, bucket long, n double")
     # one model a row: its size is that of the model, whatever the rows
     found = counted.groupBy("language", "bucket").agg(F.sum("n").alias("n")).groupBy("language").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n"))
     table = np.full((len(languages) + 1, BUCKETS), 1.0 / BUCKETS)

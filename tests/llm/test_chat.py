@@ -42,10 +42,11 @@ def test_language():
 
 
 def test_conversations(spark):
-    rows = [(1, 1, "assistant", "</s>[INST]"), (1, 0, "user", None), (1, 0, "user", None), (None, 0, None, "x\\"), (2, 5, "tool", "é😀"), (2, 7, "assistant", "")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumnRenamed("turn", "turn")
+    rows = [(1, 1, "assistant", "</s>[INST]"), (1, 0, "user", None), (1, 0, "user", None), (None, 0, None, "x\\"), (2, 5, "tool", "é😀"), (2, 7, "assistant", ""), (3, 0, "user", "</s>[INST]\\ " * 20_000), (3, 1, "assistant", "é[/INST]" * 30_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = df.selectExpr("*", "1 as formatted", "'x' as messages", "2 as n_turns", "'y' as loss")
     got = {r.conv_id: r for r in chat.digest_turns(chat.format_turns(df)).collect()}
-    for cid in (1, None, 2):
+    for cid in (1, None, 2, 3):
         turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == cid), key=lambda r: (r[1], r[2] or "", r[3] or ""))]
         body = "".join(f"{r}\n{t}\n" for r, t in turns)
         loss = "".join(t for r, t in turns if r == "assistant")

@@ -104,6 +104,20 @@ def test_language_pages(spark):
     rows += [(900, None, None), (901, "no address", ""), (902, "https://h1.example.fr/", f"<p>{texts(30, 'fr', draw)}</p>")]
     got = {r.page_id: r for r in langid.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert len(got) == len(rows) and all(got[i].lang == ["en", "fr", "de"][i % 3] for i in range(90)) and got[902].lang == "fr"
+    assert got[902].accepted and got[902].declared is None and got[900].host is None
+
+
+def test_pages_without_rows_ties_and_a_long_one(spark):
+    schema = "page_id long, url string, html string, lang string, scores string"
+    assert langid.identify_pages(spark.createDataFrame([], schema)).count() == 0
+    undeclared = langid.identify_pages(spark.createDataFrame([(1, "http://h.x/", "<p>some text</p>", "clash", "x")], schema)).collect()
+    assert [(r.page_id, r.lang, r.confidence, r.accepted) for r in undeclared] == [(1, "und", 0.0, False)]
+    draw = np.random.default_rng(2)
+    rows = [(i, "http://h.x/", f'<html lang="{lang}"><p>{texts(30, lang, draw)}</p></html>', "clash", "x") for i, lang in enumerate(["en", "fr"] * 25)]
+    rows += [(100, "http://h.x/", '<html lang="fr">' + "<script>" * 20_000 + texts(60_000, "en", draw), "clash", "x"), (101, None, None, None, None), (101, None, None, None, None)]
+    got = langid.identify_pages(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == len(rows) and next(r for r in got if r.page_id == 100).lang == "en"
+    assert len({(r.lang, r.confidence) for r in got if r.page_id == 101}) == 1
 
 
 def test_quality(spark, docs_of):
@@ -121,8 +135,39 @@ def test_quality(spark, docs_of):
 
 
 def test_isotonic():
-    _, values = quality.isotonic(np.arange(4.0), np.full(4, 10.0), np.array([1.0, 5.0, 3.0, 9.0]))
-    assert list(values) == sorted(values)
+    """The pools are those of the max-min formula, worked out for every bin by itself."""
+    draw = np.random.default_rng(6)
+    for _ in range(20):
+        k = int(draw.integers(1, 12))
+        n = draw.integers(1, 9, k).astype(float)
+        ones = np.floor(n * draw.random(k))
+        _, values = quality.isotonic(np.arange(float(k)), n, ones)
+        mean = lambda a, b: ones[a : b + 1].sum() / n[a : b + 1].sum()  # noqa: B023, E731
+        fitted = [max(min(mean(a, b) for b in range(i, k)) for a in range(i + 1)) for i in range(k)]
+        want = []
+        for level in sorted(set(np.round(fitted, 9))):
+            own = np.isclose(fitted, level)
+            want.append((ones[own].sum() + 0.5) / (n[own].sum() + 1))
+        assert np.allclose(values, want)
+
+
+def test_ridge_equals_plain_numpy(spark):
+    """Partition-summed normal equations and the weights they give, against all rows at once."""
+    draw = np.random.default_rng(7)
+    x, y = draw.normal(size=(300, len(quality.FEATURES))), draw.integers(0, 2, 300).astype(float)
+    cosines = quality.Cosines(x.mean(axis=0), x.std(axis=0), 24)
+    df = spark.createDataFrame([(r.tolist(), float(v)) for r, v in zip(x, y)], "x array<double>, y double").repartition(7)
+    z = np.concatenate((cosines(x), y[:, None]), axis=1)
+    sums = quality.normal_equations(df, cosines)
+    assert np.allclose(sums, z.T @ z)
+    weights = np.linalg.solve(sums[:-1, :-1] + quality.RIDGE * 300 * np.eye(25), sums[:-1, -1])
+    plain = np.linalg.lstsq(np.concatenate((z[:, :-1], np.sqrt(quality.RIDGE * 300) * np.eye(25))), np.concatenate((y, np.zeros(25))), rcond=None)[0]
+    assert np.allclose(weights, plain, atol=1e-6)
+    # the cosines approximate a Gaussian kernel of the standardised statistics
+    many = quality.Cosines(x.mean(axis=0), x.std(axis=0), 20_000)
+    a, b = many(x[:5])[:, :-1], (x[:5] - x.mean(axis=0)) / x.std(axis=0)
+    kernel = np.exp(-((b[:, None] - b[None]) ** 2).sum(axis=2) / (2 * len(quality.FEATURES)))
+    assert np.allclose(a @ a.T, kernel, atol=0.05)
 
 
 def test_media_copies(spark):

@@ -98,7 +98,7 @@ def test_secrets(docs_of):
         assert base in {plain_spans(t) for i, t in rows if i == r.doc_id}
     out = {r.doc_id: r for r in secrets.redact(docs_of(rows)).collect()}
     assert out[20].text == "é [REDACTED], Token='abc' [REDACTED]" and out[1].text is None and out[21].extra == "x"
-    assert secrets.redact(docs_of([])).count() == 0
+    assert secrets.redact(docs_of([])).count() == 0 and secrets.scan(docs_of([])).count() == 0
 
 
 def test_trigram_queries():

@@ -58,6 +58,6 @@ def test_hot_anchors(docs_of, monkeypatch):
 
 
 def test_edges(docs_of):
-    rows = [r for r in EDGES if r[0] != 7]
+    rows = [*EDGES, (None, "no id here at all " * 9), (None, "no id here at all " * 9), (8, "word " * 30)]
     assert found(docs_of(rows)) == plain(rows)
     assert suffixes.repeats(docs_of([])).count() == 0
