@@ -227,9 +227,10 @@ def match_episodes(files: DataFrame, catalogue: DataFrame, cutoff: float = FUZZY
     texts = settle(texts.withColumn("probe_id", F.col("file_id") * 16 + F.col("place") * 4 + F.col("form")))
     order = F.col("probe_id")
     exact = match_exact(texts, catalogue).where("hit is not null").select("file_id", F.struct(order.alias("o"), "hit", F.lit("exact").alias("method"), F.lit(1.0).alias("score")).alias("m"))
+    exact = settle(exact)
     last = texts.where("form = 2")
     held = match_contained(last, catalogue).join(last.select("probe_id", "file_id"), "probe_id")
-    held = held.select("file_id", "accepted", F.struct((order + 3).alias("o"), "hit", F.lit("contains").alias("method"), F.col("share").alias("score")).alias("m"))
+    held = settle(held.select("file_id", "accepted", F.struct((order + 3).alias("o"), "hit", F.lit("contains").alias("method"), F.col("share").alias("score")).alias("m")))
     found = exact.unionByName(held.where("accepted").select("file_id", "m"))
     rest = last.join(found.select("file_id").distinct(), "file_id", "left_anti")
     fuzzy = match_fuzzy(rest, catalogue, cutoff).join(rest.select("probe_id", "file_id"), "probe_id")

@@ -13,9 +13,11 @@ from .adapters import view
 from .base import files, oracle, query
 
 C, L = F.col, F.lit
-_NONE = F.lit(None).cast("string")
 
 
+def _none() -> F.Column:
+    return F.lit(None).cast("string")
+
 def _key(x: str) -> str:
     """SQL of the match key of an ASCII text."""
     return rf"regexp_replace(trim(regexp_replace(lower(regexp_replace({x}, '[^0-9A-Za-z ]+', ' ', 'g')), '\s+', ' ', 'g')), '^the (.)', '\1')"
@@ -191,7 +193,7 @@ def f34(spark, d):
 def f35(spark, d):
     i = C("file_id")
     fields = {
-        "title": F.when(i % 2 != 0, C("title")).otherwise(""), "year": C("year"), "tmdb": C("tmdb"), "imdb": F.when(i % 5 != 0, "tt1"), "show": C("show"), "show_year": F.lit(None).cast("int"), "tvdb": _NONE,
+        "title": F.when(i % 2 != 0, C("title")).otherwise(""), "year": C("year"), "tmdb": C("tmdb"), "imdb": F.when(i % 5 != 0, "tt1"), "show": C("show"), "show_year": F.lit(None).cast("int"), "tvdb": _none(),
         "season": L(0), "episode": L(0), "episode_title": L(""),
     }
     return files(spark, d).select("file_id", F.array_join(G.missing_fields(C("kind"), fields, i % 7 == 0), ",").alias("missing"))
@@ -268,7 +270,7 @@ SELECT title_id, CAST(s.p AS INT) AS place, s.r AS rung, s.i AS by_id, CAST(s.n
 def p70_shows(spark, d):
     i = C("file_id")
     path = F.concat(L("lib/"), "show", L(" (1999) [tvdbid-"), i.cast("string"), L("]/Season 01/"), "show", L(" - S01E02 - x.mkv"))
-    rows = files(spark, d).where("kind = 'tv'").select(i.alias("title_id"), path.alias("path"), _NONE.alias("origin"), F.when(i % 2 == 0, i.cast("string")).alias("tag_tvdb"), _NONE.alias("tag_tmdb"), C("show").alias("tag_show"))
+    rows = files(spark, d).where("kind = 'tv'").select(i.alias("title_id"), path.alias("path"), _none().alias("origin"), F.when(i % 2 == 0, i.cast("string")).alias("tag_tvdb"), _none().alias("tag_tmdb"), C("show").alias("tag_show"))
     return resolve.show_ladder(rows).select("title_id", C("place").cast("long").alias("place"), "rung", "by_id")
 
 
@@ -364,8 +366,8 @@ def j23(spark, d):
 def j28(spark, d):
     i = C("file_id")
     f = files(spark, d)
-    titles = f.select(i.alias("title_id"), F.when(i % 2 == 0, "Own").alias("title"), L(None).cast("int").alias("year"), _NONE.alias("imdb"), "tmdb")
-    entities = f.where("file_id % 3 <> 0").select("tmdb", C("title").alias("label"), "year", _NONE.alias("imdb"))
+    titles = f.select(i.alias("title_id"), F.when(i % 2 == 0, "Own").alias("title"), L(None).cast("int").alias("year"), _none().alias("imdb"), "tmdb")
+    entities = f.where("file_id % 3 <> 0").select("tmdb", C("title").alias("label"), "year", _none().alias("imdb"))
     return resolve.apply_pinned(titles, entities).select("title_id", "title", C("year").cast("long").alias("year"), "manual", F.array_join("notes", "; ").alias("notes"))
 
 
@@ -410,7 +412,7 @@ def j3(spark, d):
     folder = F.concat("show", L(" (1999) [tvdbid-"), number, L("]"))
     # by id or, for one in three, by name
     by_name = C("file_id") % 3 == 1
-    ids = f.select(C("file_id").alias("title_id"), "show", L(1999).alias("show_year"), F.when(~by_name, number).alias("tvdb"), _NONE.alias("tmdb"), "season", "episode", F.lit(None).cast("int").alias("episode_last"))
+    ids = f.select(C("file_id").alias("title_id"), "show", L(1999).alias("show_year"), F.when(~by_name, number).alias("tvdb"), _none().alias("tmdb"), "season", "episode", F.lit(None).cast("int").alias("episode_last"))
     inside = f.where("file_id % 2 = 0").select(folder.alias("folder"), "season", F.concat("show", L(" - "), N.episode_code(C("season"), C("episode")), L(" - "), C("file_id").cast("string"), L(".mkv")).alias("name"))
     return resolve.tv_incumbents(ids, f.select(folder.alias("folder")).distinct(), inside).select("title_id", "folder", "file")
 
@@ -424,7 +426,7 @@ def j31(spark, d):
     i = C("file_id")
     f = files(spark, d)
     folder = F.concat("title", L(" (1999) [tmdbid-"), "tmdb", L("]"))
-    ids = f.select(i.alias("title_id"), "title", L(1998).alias("year"), "tmdb", _NONE.alias("imdb"))
+    ids = f.select(i.alias("title_id"), "title", L(1998).alias("year"), "tmdb", _none().alias("imdb"))
     area = lambda rows, gaps: (rows.select(folder.alias("folder")), rows.where(gaps).select(folder.alias("folder"), L("x.mkv").alias("name")))
     out = resolve.find_incumbents(ids, [area(f.where("file_id % 2 = 0"), i % 5 != 0), area(f.where("file_id % 3 = 0"), L(True))])
     return out.select("title_id", C("area").cast("long").alias("area"), "missing", "file")

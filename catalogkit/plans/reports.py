@@ -13,9 +13,11 @@ from .base import CLASS, KEPT, NAMED, WEIGHTED, files, oracle, query
 from .queries import _REPORT, _VOTES, _pair_attrs
 
 C, L = F.col, F.lit
-_NONE = F.lit(None).cast("string")
 
 
+def _none() -> F.Column:
+    return F.lit(None).cast("string")
+
 def _values(spark, d) -> DataFrame:
     return standards.report_values(standards.attributes(files(spark, d), view(spark, d, "v_track")))
 
