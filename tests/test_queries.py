@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the small driver tables."""
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -27,11 +28,23 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
+@pytest.fixture(scope="module")
+def answers(spark):
+    """What each query gives: several run at a time, as planning takes most of their time here."""
+
+    def answer(name):
+        df = Q.QUERIES[name](spark, SF)
+        columns = sorted(df.columns)
+        return columns, [tuple(plain(x) for x in r) for r in df.select(*columns).collect()]
+
+    pool = ThreadPoolExecutor(6)
+    yield {name: pool.submit(answer, name) for name in sorted(Q.ORACLES)}
+    pool.shutdown(cancel_futures=True)
+
+
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
-def test_equals_sql(spark, duck, name):
-    df = Q.QUERIES[name](spark, SF)
-    columns = sorted(df.columns)
-    got = [tuple(plain(x) for x in r) for r in df.select(*columns).collect()]
+def test_equals_sql(answers, duck, name):
+    columns, got = answers[name].result()
     sql = duck.sql(Q.ORACLES[name])
     assert sorted(sql.columns) == columns
     at = [sql.columns.index(c) for c in columns]
