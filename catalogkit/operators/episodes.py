@@ -29,8 +29,9 @@ def keyed(catalogue: DataFrame) -> DataFrame:
     """The catalogue with its match keys: key of the title, base and part number of its marker."""
     if {"key", "base", "part"} <= set(catalogue.columns):
         return catalogue
-    marker = N.parse_marker(F.col("title"))
-    return catalogue.withColumns({"key": N.match_key(F.col("title")), "base": N.match_key(marker["base"]), "part": marker["number"]})
+    # the marker as a column of its own is worked out once a row
+    rows = catalogue.withColumn("_marker", N.parse_marker(F.col("title")))
+    return rows.withColumns({"key": N.match_key(F.col("title")), "base": N.match_key(F.col("_marker.base")), "part": F.col("_marker.number")}).drop("_marker")
 
 
 def _first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -62,8 +63,8 @@ def _named(df: DataFrame, keys: list[str], hit: str) -> DataFrame:
 
 def match_exact(probes: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Probes (probe_id, show, text) with the catalogue row of the first exact rung, and that rung."""
-    marker = N.parse_marker(F.col("text"))
-    p = probes.withColumns({"p_key": N.match_key(F.col("text")), "p_base": N.match_key(marker["base"]), "p_part": marker["number"]})
+    p = probes.withColumn("_marker", N.parse_marker(F.col("text")))
+    p = p.withColumns({"p_key": N.match_key(F.col("text")), "p_base": N.match_key(F.col("_marker.base")), "p_part": F.col("_marker.number")})
     exact, base, part = exact_index(catalogue), base_index(catalogue), part_index(catalogue)
     joins = [
         (_named(exact, ["show", "key"], "h1"), {"key": "p_key"}),
@@ -92,8 +93,8 @@ def match_contained(probes: DataFrame, catalogue: DataFrame, min_share: float =
     probe_id, show, text, season, first (its own number). ``accepted`` is false
     for a hit that covers too little and is not the file's own number.
     """
-    marker = N.parse_marker(F.col("text"))
-    p = probes.withColumn("part", marker["number"]).withColumn("words", F.split(N.match_key(F.when(marker["number"].isNotNull(), marker["base"]).otherwise(F.col("text"))), " "))
+    marker = F.col("_marker")
+    p = probes.withColumn("_marker", N.parse_marker(F.col("text"))).withColumn("part", marker["number"]).withColumn("words", F.split(N.match_key(F.when(marker["number"].isNotNull(), marker["base"]).otherwise(F.col("text"))), " "))
     p = p.withColumn("base", F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), lambda n: F.array_join(F.slice("words", F.lit(1), n), " "))))
     base = _named(base_index(catalogue).where("base <> ''"), ["show", "base"], "by_base")
     hits = p.join(base, ["show", "base"])
