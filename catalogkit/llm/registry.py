@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, media, mixing, quality, secrets, simhash, suffixes, warc
+from . import chat, decontaminate, infill, langid, media, mixing, quality, secrets, simhash, suffixes, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_chat": chat.op9_chat,
     "op10_suffixes": suffixes.op10_suffixes,
+    "op11_infill": infill.op11_infill,
 }
 
 ORACLES: dict[str, str] = {
@@ -22,4 +23,5 @@ ORACLES: dict[str, str] = {
     "op3_secrets": secrets.OP3_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_chat": chat.OP9_SQL,
+    "op11_infill": infill.OP11_SQL,
 }
