@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, infill, langid, media, mixing, quality, secrets, simhash, suffixes, warc
+from . import chat, decontaminate, infill, langid, media, mixing, negatives, quality, secrets, simhash, suffixes, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat": chat.op9_chat,
     "op10_suffixes": suffixes.op10_suffixes,
     "op11_infill": infill.op11_infill,
+    "op12_negatives": negatives.op12_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op7_warc": warc.OP7_SQL,
     "op9_chat": chat.OP9_SQL,
     "op11_infill": infill.OP11_SQL,
+    "op12_negatives": negatives.OP12_SQL,
 }
