@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, infill, langid, media, mixing, negatives, quality, secrets, simhash, suffixes, warc
+from . import chat, decontaminate, disclosure, infill, langid, media, mixing, negatives, quality, secrets, simhash, suffixes, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_suffixes": suffixes.op10_suffixes,
     "op11_infill": infill.op11_infill,
     "op12_negatives": negatives.op12_negatives,
+    "op13_disclosure": disclosure.op13_disclosure,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op9_chat": chat.OP9_SQL,
     "op11_infill": infill.OP11_SQL,
     "op12_negatives": negatives.OP12_SQL,
+    "op13_disclosure": disclosure.OP13_SQL,
 }
