@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import RELEASE_WORDS, SEASON_WORDS, WORD_NUMBERS
+from .constants import SEASON_WORDS, WORD_NUMBERS
+from .vocabulary import DEFAULT, Vocabulary
 
 #: A word and the gap before it.
 _WORD = r"(?i)([^a-z0-9]*)([a-z]+|[0-9]+)"
@@ -23,23 +24,6 @@ def let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def literal(phrase: str) -> str:
-    """An expression that matches ``phrase`` as it stands."""
-    return "".join(c if c.isalnum() or c == "-" else f"\\{c}" for c in phrase)
-
-
-def any_of(phrases) -> str:
-    """An expression for any of the phrases, longer ones first."""
-    return "|".join(sorted(map(literal, phrases), key=lambda p: (-len(p), p)))
-
-
-_SIZE = r"[0-9]{3,4}x[0-9]{3,4}"
-#: A release word, as a pattern without its borders; and those of them that hold a digit.
-RELEASE = f"{any_of(RELEASE_WORDS)}|{_SIZE}"
-RELEASE_NUMBERS = f"{any_of(w for w in RELEASE_WORDS if any(c.isdigit() for c in w))}|{_SIZE}"
-RELEASE_WORD = rf"(?i)\b(?:{RELEASE})\b"
-
-
 def words(text: Column) -> Column:
     """The words of a text: gap, word (lower case), at, end (places from 0, end exclusive) and next, the gap after."""
 
@@ -192,7 +176,35 @@ def parts_range(ws: Column) -> Column:
     return F.coalesce(span(last_of(ws, 3), last_of(ws, 2), tied), span(last_of(ws, 4), last_of(ws, 3), spelled))
 
 
-def weak_number(text: Column) -> Column:
+def phrases(ws: Column, table: list[tuple[str, ...]]) -> Column:
+    """Where words spell a phrase of ``table``: rank (place of the phrase's entry), at, back (length, negative) and end.
+
+    Separators stand between the words, and before and after the phrase or a
+    bracket; an apostrophe may stand before its last letters or be missing.
+    """
+    spelled = {p.replace("'", ""): rank for rank, entry in enumerate(table) for p in entry}
+    longest = max(len(p.replace("'", " ").split()) for entry in table for p in entry)
+    names, ranks = F.lit(list(spelled)), F.lit(list(spelled.values()))
+    before, after = r"[\s._(\[-]$", r"^[\s._)\]-]"
+
+    def from_word(w: Column, i: Column) -> Column:
+        def of_length(n: Column) -> Column:
+            glue = lambda gap: F.when(gap.rlike(r"^[\s._-]+$"), " ").when(gap == "'", "").otherwise("|")
+            run = F.slice(ws, i + 1, n)
+            text = F.array_join(F.transform(run, lambda x, k: F.concat(F.when(k == 0, "").otherwise(glue(x["gap"])), x["word"])), "")
+            last = F.get(ws, i + n - 1)
+            free = last["next"].rlike(after) | ((i + n == F.size(ws)) & (last["next"] == ""))
+            rank = F.when(free, F.try_element_at(ranks, F.nullif(F.array_position(names, text).cast("int"), F.lit(0))))
+            return F.struct(rank.alias("rank"), w["at"].alias("at"), (w["at"] - last["end"]).alias("back"), last["end"].alias("end"))
+
+        lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size(ws) - i))
+        found = F.filter(F.transform(lengths, of_length), lambda x: x["rank"].isNotNull())
+        return F.when((w["at"] == 0) | w["gap"].rlike(before), found).otherwise(F.filter(found, lambda x: F.lit(False)))
+
+    return F.flatten(F.transform(ws, from_word))
+
+
+def weak_number(text: Column, vocab: Vocabulary = DEFAULT) -> Column:
     """season, first, start and end of a bare SEE or SSEE number that can be an episode; null without one.
 
     It is a word of its own, not the first thing in the name, before any release
@@ -222,5 +234,5 @@ def weak_number(text: Column) -> Column:
 
         return let(F.filter(F.transform(ws, candidate), lambda c: c["stands"]), chosen)
 
-    place = F.regexp_instr(text, F.lit(RELEASE_WORD))
+    place = F.regexp_instr(text, F.lit(vocab.word))
     return let(F.struct(words(text).alias("ws"), F.length(text).alias("size"), F.when(place > 0, place - 1).otherwise(F.length(text)).alias("limit")), read)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import helpers as H
 from ..functions import names as N
-from ..functions.words import RELEASE_WORD
+from ..functions.vocabulary import DEFAULT, Vocabulary
 from .settle import settle
 
 FUZZY_CUTOFF, CONTAINED_SHARE = 0.82, 0.5
@@ -209,7 +209,7 @@ def shared_words(a: Column, b: Column) -> Column:
     return F.array_intersect(F.split(N.match_key(a), " "), F.split(N.match_key(b), " "))
 
 
-def match_episodes(files: DataFrame, catalogue: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
+def match_episodes(files: DataFrame, catalogue: DataFrame, cutoff: float = FUZZY_CUTOFF, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """The catalogue row of each file, with method and score.
 
     ``files``: file_id, show, path, segment_title, season, first. Texts in order:
@@ -218,12 +218,12 @@ def match_episodes(files: DataFrame, catalogue: DataFrame, cutoff: float = FUZZY
     titles, then similar ones. What an earlier step settles leaves the rest.
     """
     catalogue = settle(keyed(catalogue))
-    files = settle(files.withColumn("own", N.title_from_filename(F.col("path"))))
+    files = settle(files.withColumn("own", N.title_from_filename(F.col("path"), vocab=vocab)))
     probes = files.select(
         "file_id", "show", "season", "first", F.posexplode(F.array("own", "segment_title", N.without_show(F.col("own"), F.col("show")))).alias("place", "raw")
     ).where("raw is not null")
-    clean = F.regexp_replace(F.regexp_replace(F.col("raw"), RELEASE_WORD, " "), "^[ ._-]+|[ ._-]+$", "")
-    forms = F.posexplode(F.array("raw", N.cut_release_fields(F.col("raw")), clean)).alias("form", "text")
+    clean = F.regexp_replace(F.regexp_replace(F.col("raw"), vocab.word, " "), "^[ ._-]+|[ ._-]+$", "")
+    forms = F.posexplode(F.array("raw", N.cut_release_fields(F.col("raw"), vocab), clean)).alias("form", "text")
     texts = probes.select("file_id", "show", "season", "first", "place", forms).where("text <> ''")
     texts = settle(texts.withColumn("probe_id", F.col("file_id") * 16 + F.col("place") * 4 + F.col("form")))
     order = F.col("probe_id")
@@ -246,9 +246,9 @@ def match_episodes(files: DataFrame, catalogue: DataFrame, cutoff: float = FUZZY
     return out.select("file_id", chosen["hit"].alias("hit"), F.coalesce(chosen["method"], F.lit("none")).alias("method"), F.coalesce(chosen["score"], F.lit(0.0)).alias("score"))
 
 
-def identify_tv(files: DataFrame, catalogue: DataFrame) -> DataFrame:
+def identify_tv(files: DataFrame, catalogue: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """Title match, else number, then range, with the method and its score."""
-    matched = settle(match_episodes(files, catalogue))
+    matched = settle(match_episodes(files, catalogue, vocab=vocab))
     numbers = match_number(files.select("file_id", "show", "season", "first", "weak"), catalogue).withColumnsRenamed({"hit": "n_hit", "method": "n_method"})
     both = matched.join(numbers, "file_id", "left").join(files.select("file_id", "show", "first", "last", "duration_s"), "file_id")
     hit = F.coalesce("hit", "n_hit")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import figures as G
 from ..functions import helpers as H
 from ..functions import names as N
+from ..functions.vocabulary import DEFAULT, PATTERNS, Vocabulary
 from .settle import settle, small
 
 NAME_CUTOFF, CONTAINED_SCORE, SEARCH_LIMIT = 0.82, 0.9, 10
@@ -240,10 +241,6 @@ def unknown_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return rows.join(words.select("word").distinct(), "word", "left_anti")
 
 
-#: Patterns that one expression joins.
-PATTERNS = 200
-
-
 def with_release_group(names: DataFrame, groups: DataFrame) -> DataFrame:
     """Names with ``is_group``: whether the word after the last hyphen is a release group.
 
@@ -294,23 +291,24 @@ def search_with_retries(readings: DataFrame, names: DataFrame, words: DataFrame)
     return first.unionByName(second).unionByName(third)
 
 
-def movie_ladder(df: DataFrame) -> DataFrame:
+def movie_ladder(df: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """The rungs of a movie, in order; ``df``: title_id, path, origin, tag_tmdb, tag_imdb, tag_title, tag_year, segment_title."""
+    named = N.with_movie_readings(df, vocab, _segment=F.col("segment_title"), _file=N.stem(F.col("path")), _folder=N.parent_name(F.col("path")))
     return _ladder(
-        df,
+        named,
         [
             ("embedded tag", F.struct(F.col("tag_tmdb").alias("tmdb"), F.col("tag_imdb").alias("imdb"), F.lit(None).cast("string").alias("tvdb")), _one_reading(F.col("tag_title"), F.col("tag_year"))),
             ("file name ids", _ids(N.stem(F.col("path"))), None),
             ("folder ids", _ids(N.parent_name(F.col("path"))), None),
             ("origin folder ids", _ids(N.parent_name(F.col("origin"))), None),
-            ("segment title", None, N.clean_movie_name(F.col("segment_title"))),
-            ("file name", None, N.clean_movie_name(N.stem(F.col("path")))),
-            ("folder", None, N.clean_movie_name(N.parent_name(F.col("path")))),
+            ("segment title", None, F.col("_segment")),
+            ("file name", None, F.col("_file")),
+            ("folder", None, F.col("_folder")),
         ],
     )
 
 
-def show_ladder(df: DataFrame) -> DataFrame:
+def show_ladder(df: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """The rungs of a show, in order; ``df``: title_id, path, origin, tag_tvdb, tag_tmdb, tag_show."""
     tag = F.struct(F.col("tag_tmdb").alias("tmdb"), F.lit(None).cast("string").alias("imdb"), F.col("tag_tvdb").alias("tvdb"))
     return _ladder(
@@ -321,7 +319,7 @@ def show_ladder(df: DataFrame) -> DataFrame:
             ("upper folder ids", _ids(N.parent_name(F.col("path"), 2)), None),
             ("origin folder ids", _ids(N.parent_name(F.col("origin"))), None),
             ("origin upper folder ids", _ids(N.parent_name(F.col("origin"), 2)), None),
-            ("file name", None, N.clean_show_name(N.stem(F.col("path")), N.parent_name(F.col("path")), N.season_from_folder(F.col("path")))),
+            ("file name", None, N.clean_show_name(N.stem(F.col("path")), N.parent_name(F.col("path")), N.season_from_folder(F.col("path")), vocab)),
         ],
     )
 

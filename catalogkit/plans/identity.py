@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import figures as G
 from ..functions import names as N
 from ..functions import words as W
+from ..functions.vocabulary import Vocabulary
 from ..operators import episodes, resolve
 from .adapters import view
 from .base import files, oracle, query
 
 C, L = F.col, F.lit
+#: A vocabulary with one group, beside the built-in words and media sources.
+SPARKS = Vocabulary(groups=frozenset({"sparks"}))
 
 
 def _none() -> F.Column:
@@ -97,17 +100,17 @@ def f11(spark, d):
     return view(spark, d, "v_name").select("name_id", F.explode(N.name_prefix_keys(text)).alias("key"))
 
 
-@query("f12_strip_release_tag", "SELECT file_id, CASE WHEN file_id % 3 = 2 THEN title || ' (Extras) [x264' ELSE title || CASE WHEN file_id % 3 = 1 THEN ' (Extras)' ELSE '' END END AS name FROM v_file")
+@query("f12_strip_release_tag", "SELECT file_id, title || CASE file_id % 5 WHEN 1 THEN ' (Extras)' WHEN 2 THEN ' (Extras) [x264' WHEN 4 THEN ' (PDTV) [kept]' ELSE '' END AS name FROM v_file")
 def f12(spark, d):
-    tail = _by(spark, d, 3, " (2160p)(x265) [dts] (atmos)(7.1)[1080p]", " (Extras) (1080p) [WEB-DL]", " (Extras) [x264")
-    return files(spark, d).select("file_id", N.strip_release_tag(F.concat("title", tail)).alias("name"))
+    tail = _by(spark, d, 5, " (2160p)(x265) [dts] (atmos)(7.1)[1080p]", " (Extras) (1080p) [WEB-DL]", " (Extras) [x264", " [BDMV] (SPARKS foo)", " (PDTV) [kept]")
+    return files(spark, d).select("file_id", N.strip_release_tag(F.concat("title", tail), SPARKS).alias("name"))
 
 
-@query("f13_cut_release_fields", "SELECT file_id, CASE file_id % 4 WHEN 0 THEN title WHEN 1 THEN '' WHEN 2 THEN 'Proper ' || title ELSE title || ' one two' END AS name FROM v_file")
+@query("f13_cut_release_fields", "SELECT file_id, CASE file_id % 6 WHEN 1 THEN '' WHEN 2 THEN 'Proper ' || title WHEN 3 THEN title || ' one two' ELSE title END AS name FROM v_file")
 def f13(spark, d):
     dotted = F.replace("title", L(" "), L("."))
-    text = _by(spark, d, 4, F.concat(dotted, L(".1080p.BluRay")), F.concat(L("2160p."), dotted), F.concat(L("Proper."), dotted, L(".720p.x264")), F.concat("title", L(" - one ( ) - two-")))
-    return files(spark, d).select("file_id", N.cut_release_fields(text).alias("name"))
+    leads = [F.concat(dotted, L(".1080p.BluRay")), F.concat(L("2160p."), dotted), F.concat(L("Proper."), dotted, L(".720p.x264")), F.concat("title", L(" - one ( ) - two-")), F.concat(dotted, L(".DVDRip.x")), F.concat(dotted, L("_AMZN.WEB-DL"))]
+    return files(spark, d).select("file_id", N.cut_release_fields(_by(spark, d, 6, *leads)).alias("name"))
 
 
 @query("f15_strip_edition", "SELECT file_id, CASE file_id % 3 WHEN 0 THEN title || ' 1999' WHEN 1 THEN title || ' 1999 x' ELSE title END AS name, CASE file_id % 3 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE 'Uncut' END AS label FROM v_file")
@@ -118,9 +121,9 @@ def f15(spark, d):
     return files(spark, d).select("file_id", name.alias("name"), phrases["label"].alias("label"))
 
 
-@query("f16_strip_leading_fields", "SELECT file_id, CASE WHEN file_id % 3 = 2 THEN '(1999) ' || title ELSE title END AS name FROM v_file")
+@query("f16_strip_leading_fields", "SELECT file_id, CASE file_id % 4 WHEN 2 THEN '(1999) ' || title ELSE title END AS name FROM v_file")
 def f16(spark, d):
-    head = _by(spark, d, 3, "[a] (b)[c] [d] www.site.org - 1080p ", "site.tv - [x] 720p.x264.", "(1999) ")
+    head = _by(spark, d, 4, "[a] (b)[c] [d] www.site.org - 1080p ", "site.tv - [x] 720p.x264.", "(1999) ", "[a] R5 - DVD9.")
     return files(spark, d).select("file_id", N.strip_leading_fields(F.concat(head, "title")).alias("name"))
 
 
@@ -142,11 +145,12 @@ def f21(spark, d):
     return p.select("file_id", C("p.first").cast("long").alias("first"), C("p.last").cast("long").alias("last"), told.cast("long").alias("told"))
 
 
-@query("f24_title_from_filename", "SELECT file_id, title FROM v_file")
+@query("f24_title_from_filename", "SELECT file_id, title || CASE WHEN file_id % 5 = 3 THEN ' 1080p' ELSE '' END AS title FROM v_file")
 def f24(spark, d):
     code = N.episode_code(C("season"), C("episode"))
-    name = _by(spark, d, 3, F.concat("show", L(" - "), code, L(" - "), "title"), F.concat("show", L(" "), code, L(" "), "title", L(" (1080p)")), F.concat("show", L(" 105 "), "title"))
-    return files(spark, d).select("file_id", N.title_from_filename(F.concat(L("lib/x/Season 0"), C("season").cast("string"), L("/"), name, L(".mkv"))).alias("title"))
+    named = [F.concat("show", L(" - "), code, L(" - "), "title"), F.concat("show", L(" "), code, L(" "), "title", L(" (1080p)")), F.concat("show", L(" 105 "), "title"), F.concat("show", L(" - "), code, L(" - "), "title", L(" 1080p-SPARKS")), F.concat("show", L("."), code, L("."), "title", L(" [TVRip] (foo SPARKS)"))]
+    path = F.concat(L("lib/x/Season 0"), C("season").cast("string"), L("/"), _by(spark, d, 5, *named), L(".mkv"))
+    return files(spark, d).select("file_id", N.title_from_filename(path, vocab=SPARKS).alias("title"))
 
 
 @query("f25_without_show", "SELECT file_id, CASE WHEN file_id % 3 < 2 THEN title END AS rest FROM v_file")

@@ -702,7 +702,7 @@ def f14(spark, d):
 
 @query("f27_movie_readings")
 def f27(spark, d):
-    return view(spark, d, "v_name").select("name_id", F.inline_outer(N.clean_movie_name(F.col("name"))))
+    return N.with_movie_readings(view(spark, d, "v_name"), readings=F.col("name")).select("name_id", F.inline_outer("readings"))
 
 
 @query("f22_classify")

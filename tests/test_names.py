@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from catalogkit.functions import figures as G
 from catalogkit.functions import helpers as H
 from catalogkit.functions import names as N
+from catalogkit.functions import vocabulary as V
 
 
 def one(spark, expr, **values):
@@ -17,6 +18,15 @@ def one(spark, expr, **values):
     return row.select(expr.alias("x")).first()["x"]
 
 
+def each(spark, expr, texts):
+    """``expr`` of column s for each text, in one run."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", expr.alias("x")).collect()
+    return [r.x for r in sorted(rows, key=lambda r: r.i)]
+
+
+def movies(spark, names):
+    rows = N.with_movie_readings(spark.createDataFrame(list(enumerate(names)), "i int, s string"), x=F.col("s")).collect()
+    return [[(x.name, x.year) for x in r.x] for r in sorted(rows, key=lambda r: r.i)]
 
 
 @pytest.mark.parametrize(
@@ -109,13 +119,63 @@ def test_readings(spark):
     assert read("Movie 2012 1080p") == [("Movie", 2012), ("Movie 2012", None)]
     assert read("Plain Name") == [("Plain Name", None)]
     assert read("2012 2009") == [("2012", 2009)]
-    out = one(spark, N.clean_movie_name(F.col("s")), s="Movie.Extended.Cut.1999.1080p.BluRay")
-    assert ("Movie", 1999) in [(r.name, r.year) for r in out]
 
 
 def test_release_groups_in_brackets(spark):
-    got = one(spark, N.strip_release_tag(F.col("s"), F.array(F.lit("grp"))), s="Film (GRP) [x264]")
-    assert got == "Film"
+    vocab = V.Vocabulary(groups=frozenset({"grp", "sparks"}), patterns=("X[0-9]+",))
+    peel = lambda s: one(spark, N.strip_release_tag(F.col("s"), vocab), s=s)
+    assert [peel(s) for s in ("Film (GRP) [x264]", "Film (SPARKS foo)", "Film [foo-X12] ", "Film (kept) [X12b]", "(1080p)")] == ["Film", "Film", "Film", "Film (kept) [X12b]", ""]
+    ends = lambda s: one(spark, N.strip_release_group(F.col("s"), vocab=vocab), s=s)
+    assert [ends(s) for s in ("Film 1999-SPARKS", "Film-SPARKS", "Film.DVDRip-X7", "Film 1999-War", "Film 1999 -")] == ["Film 1999", "Film-SPARKS", "Film.DVDRip", "Film 1999-War", "Film 1999 -"]
+
+
+def test_vocabulary_reaches_every_name(spark):
+    title = lambda s, v=V.DEFAULT: one(spark, N.title_from_filename(F.col("s"), vocab=v), s=s)
+    sparks = V.Vocabulary(groups=frozenset({"sparks"}))
+    assert title("Show - S01E02 - The Title 1080p-SPARKS.mkv", sparks) == "The Title 1080p"
+    assert title("Show - S01E02 - The Title (PDTV SPARKS).mkv") == "The Title"
+    tails = ("Some.Film.DVDRip.x", "Some.Film.BDMV", "Some Film HDTVRip", "Some.Film.TELESYNC.x264", "Some_Film_AMZN.WEB-DL", "Some Film PDTV x", "[site] Some.Film.R5")
+    *plain, edition = movies(spark, [*tails, "Movie.Extended.Cut.1999.1080p.BluRay"])
+    assert plain == [[("Some Film", None)]] * len(tails) and ("Movie", 1999) in edition
+    own = V.Vocabulary(sources=("GRAIL.?Rip",))
+    assert one(spark, N.cut_release_fields(F.col("s"), own), s="Film.GRAIL.Rip.DVDRip") == "Film"
+    assert one(spark, N.strip_leading_fields(F.col("s")), s="[a] R5 Film") == "Film"
+    tables = spark.createDataFrame([("A", "GRAIL.?Rip"), ("B", "(bad"), ("C", r"(?<=\\d{3,4}p.)WEB")], "label string, pattern string"), spark.createDataFrame([("Sparks", False), ("X[0-9]+", True), ("[bad", True)], "name string, is_pattern boolean")
+    made = V.compiled(*tables)
+    assert made.sources == ("GRAIL.?Rip", r"(?<=\\d{3,4}p.)WEB") and made.groups == {"sparks"} and made.patterns == ("X[0-9]+",)
+    assert [one(spark, made.is_group(F.col("s")), s=s) for s in ("SPARKS", "X12", "x12", "", "X12b")] == [True, True, False, False, False]
+
+
+LEADING = [
+    ("[a] [b]", "[b]"), ("[a] 1080p", "[a] 1080p"), ("www.site.org.My Film", "Film"), ("www.site.org - Film", "Film"), ("site.co.uk - Film", "Film"), ("The.Net.1995", "The.Net.1995"),
+    ("site.tv - [x] 720p.x264.Film", "Film"), ("  - Film", "Film"), ("( 1999 ) Film", "( 1999 ) Film"), ("(a[b]) Film", "(a[b]) Film"), ("Dual Film", "Dual Film"), ("my-site.com -Film", "my-site.com -Film"), ("", ""),
+]
+
+
+def test_leading_fields(spark):
+    assert each(spark, N.strip_leading_fields(F.col("s")), [s for s, _ in LEADING]) == [want for _, want in LEADING]
+
+
+NAMED_EDITIONS = [
+    ("Film 1999 Director's.Definitive_Cut", "Director's Definitive Cut", "Film 1999 ", (None, None)),
+    ("Film Extended", "Extended", "Film ", ("Film", "Extended")),
+    ("Extended Film Extended", None, "Extended Film Extended", ("Film", "Extended")),
+    ("Film (Unrated) [1080p]", "Unrated", "Film  [1080p]", ("Film ( ) [1080p]", "Unrated")),
+    ("Film 1999 Extendedish", None, "Film 1999 Extendedish", (None, None)),
+    ("Uncut Film 1999 (Limited Edition) x", None, "Uncut Film 1999  x", ("Film 1999 (Limited Edition) x", "Uncut")),
+    ("Film Ultimate Collector's Edition 1999", None, "Film Ultimate Collector's Edition 1999", ("Film 1999", None)),
+    ("Final Cut 1999", None, "Final Cut 1999", (None, None)),
+    ("Film 1999 Special-Edition Uncut.mkv", "Uncut", "Film 1999 Special-Edition .mkv", (None, None)),
+    ("Film 1999 directors director's cut", "Director's Cut", "Film 1999 directors ", (None, None)),
+]
+
+
+def test_editions(spark):
+    """Text, label, text without the edition, and text without every phrase."""
+    texts = [e[0] for e in NAMED_EDITIONS]
+    assert each(spark, N.edition_from_name(F.col("s")), texts) == [e[1] for e in NAMED_EDITIONS]
+    assert each(spark, N.strip_edition(F.col("s")), texts) == [e[2] for e in NAMED_EDITIONS]
+    assert [(x.text, x.label) for x in each(spark, N.strip_edition_phrases(F.col("s")), texts)] == [e[3] for e in NAMED_EDITIONS]
 
 
 def test_codes(spark):
