@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import figures as G
 from ..functions import helpers as H
 from ..functions import names as N
 from ..functions.vocabulary import DEFAULT, PATTERNS, Vocabulary
+from .episodes import BLOCKED, fuzzy_pairs
 from .settle import settle, small
 
 NAME_CUTOFF, CONTAINED_SCORE, SEARCH_LIMIT = 0.82, 0.9, 10
@@ -120,29 +123,135 @@ def search_candidates(readings: DataFrame, names: DataFrame, k: int = SEARCH_LIM
     return wanted.join(best, "key").select("title_id", "name", "tmdb", "shared", "rank")
 
 
-def scored_candidates(readings: DataFrame, names: DataFrame, k: int = SEARCH_LIMIT, cutoff: float = NAME_CUTOFF) -> DataFrame:
-    """(title_id, wanted, tmdb, score): the ``k`` best entities of each reading that share a word or key with it.
+class Searchable(NamedTuple):
+    """Entities' names made ready once for every search: tmdb, entity_year, key, text (as a file name) and norm."""
+
+    rows: DataFrame
+    dated: bool
+
+
+def searchable(names: DataFrame) -> Searchable:
+    """``names``: tmdb, name and perhaps entity_year."""
+    dated = "entity_year" in names.columns
+    year = F.col("entity_year").cast("int") if dated else F.lit(None).cast("int")
+    rows = names.select("tmdb", year.alias("entity_year"), N.match_key(F.col("name")).alias("key"), N.to_filename(F.col("name")).alias("text"), N.normalise_for_match(F.col("name")).alias("norm"))
+    return Searchable(settle(rows.distinct()), dated)
+
+
+def word_runs(key: Column) -> Column:
+    """Every run of words of a text."""
+
+    def runs(words: Column) -> Column:
+        from_word = lambda _, i: F.transform(F.sequence(F.lit(1), F.size(words) - i), lambda n: F.array_join(F.slice(words, i + 1, n), " "))
+        return F.array_distinct(F.flatten(F.transform(words, from_word)))
 
-    All distinct pairs of names that share a word are scored before any is left
-    out. If ``readings`` has name_year and ``names`` entity_year, only accepted
-    years take a place among the ``k``.
+    return N.let(F.split(key, " "), runs)
+
+
+def _beside(words: Column, i: Column, n: Column) -> tuple[Column, Column]:
+    """The words before and after the ``n`` words from place ``i`` on; null where there are none."""
+    return F.when(i > 0, F.get(words, i - 1)), F.get(words, i + n)
+
+
+def abbreviation_keys(norm: Column) -> Column:
+    """what a reading's words, taken as abbreviations, must meet: initials, side and the word beside them.
+
+    Neighbouring abbreviations spell one run, so every run of words of two
+    letters or more is tried; the word before it, else that after it, must be
+    there too. A reading that is nothing else has no such word.
     """
-    dated = "name_year" in readings.columns and "entity_year" in names.columns
-    asked, told = (["name_year"], ["entity_year"]) if dated else ([], [])
-    left = readings.select(F.col("name").alias("wanted")).distinct().withColumn("key", N.match_key(F.col("wanted")))
-    right = names.select("name").distinct().withColumn("key", N.match_key(F.col("name")))
-    by_word = left.withColumn("word", F.explode(_words(F.col("key")))).drop("key").join(right.withColumn("word", F.explode(_words(F.col("key")))).drop("key"), "word")
-    pairs = by_word.select("wanted", "name").unionByName(left.join(right, "key").select("wanted", "name")).distinct()
-    good = pair_scores(pairs).where(F.col("score") >= cutoff).select("wanted", "name", "score")
-    first = top_k(names.select("tmdb", "name", *told).distinct(), ["name", *told], [F.asc("tmdb")], k).drop("rank")
-    met = readings.select(F.col("name").alias("wanted"), *asked).distinct().join(good, "wanted").join(first, "name")
+
+    def keys(words: Column) -> Column:
+        def key(i: Column, n: Column) -> Column:
+            before, after = _beside(words, i, n)
+            run = F.slice(words, i + 1, n)
+            row = F.struct(F.array_join(run, "").alias("initials"), F.when(before.isNotNull(), "L").when(after.isNotNull(), "R").otherwise("").alias("side"), F.coalesce(before, after, F.lit("")).alias("beside"))
+            return F.when(F.forall(run, lambda w: F.length(w) >= 2), row)
+
+        from_word = lambda _, i: F.array_compact(F.transform(F.sequence(F.lit(1), F.size(words) - i), lambda n: key(i, n)))
+        return F.flatten(F.transform(words, from_word))
+
+    return N.let(F.split(norm, " "), keys)
+
+
+def initial_keys(norm: Column) -> Column:
+    """the same keys of a name: each run of two words or more by its initials, with the word before, after, and neither."""
+
+    def keys(words: Column) -> Column:
+        def three(i: Column, n: Column) -> Column:
+            before, after = _beside(words, i, n)
+            run = F.slice(words, i + 1, n)
+            initials = F.array_join(F.transform(run, lambda w: F.left(w, F.lit(1))), "")
+            row = lambda side, word: F.struct(initials.alias("initials"), F.lit(side).alias("side"), word.alias("beside"), F.array_join(run, " ").alias("run"))
+            return F.array_compact(F.array(F.when(before.isNotNull(), row("L", before)), F.when(after.isNotNull(), row("R", after)), row("", F.lit(""))))
+
+        from_word = lambda _, i: F.when(F.size(words) - i >= 2, F.flatten(F.transform(F.sequence(F.lit(2), F.greatest(F.size(words) - i, F.lit(2))), lambda n: three(i, n))))
+        return F.flatten(F.array_compact(F.transform(words, from_word)))
+
+    return N.let(F.split(norm, " "), keys)
+
+
+def scored_candidates(readings: DataFrame, names: DataFrame | Searchable, k: int = SEARCH_LIMIT, cutoff: float = NAME_CUTOFF) -> DataFrame:
+    """(title_id, wanted, tmdb, score): the ``k`` entities of each reading whose names score best, from ``cutoff`` on.
+
+    No pair of names is compared because of a word they share. Equal names meet
+    by their keys; names that hold all words of a reading, in order, by their
+    runs of words; similar ones by their rarest letter pairs, as many as any
+    name of that similarity must share; abbreviations by the initials of a run
+    of words and the word beside it. Of names with one key, run and year the
+    first ``k`` entities stand for all, as no other can come before them. If
+    ``readings`` has name_year and ``names`` entity_year, only accepted years
+    take a place among the ``k``.
+    """
+    if cutoff < BLOCKED:
+        raise ValueError(f"the cutoff must be at least {BLOCKED}")
+    told = names if isinstance(names, Searchable) else searchable(names)
+    dated = "name_year" in readings.columns and told.dated
+    wanted = readings.select(F.col("name").alias("wanted")).where("wanted is not null").distinct()
+    wanted = settle(wanted.select("wanted", N.match_key(F.col("wanted")).alias("key"), N.collapse(F.col("wanted")).alias("text"), N.normalise_for_match(F.col("wanted")).alias("norm")))
+
+    def first_of(column: str) -> DataFrame:
+        rows = told.rows.select(column, "entity_year", "tmdb").distinct()
+        return top_k(rows, [column, "entity_year"], [F.asc("tmdb")], k).drop("rank")
+
+    scored = lambda df, score: df.select("wanted", "tmdb", "entity_year", F.lit(score).cast("double").alias("score"))
+    of_key = first_of("key")
+    equal = scored(wanted.where("key <> ''").join(of_key, "key"), 1.0)
+    alike = scored(wanted.join(first_of("text"), "text"), 1.0)
+    # names that hold the reading
+    keys = wanted.where("key <> ''").select("key").distinct()
+    runs = told.rows.select("key", "entity_year", "tmdb").distinct().select("entity_year", "tmdb", F.explode(word_runs(F.col("key"))).alias("key")).join(small(keys), "key", "left_semi")
+    holds = scored(wanted.join(top_k(runs.distinct(), ["key", "entity_year"], [F.asc("tmdb")], k), "key"), CONTAINED_SCORE)
+    # names that are similar
+    whole = F.lit("").alias("show")
+    pairs = fuzzy_pairs(keys.select(whole, F.col("key").alias("p_key")), told.rows.where("key <> ''").select(whole, "key").distinct(), cutoff)
+    near = pairs.where("p_key <> key").withColumn("score", H.similarity(F.col("p_key"), F.col("key"))).where(F.col("score") >= cutoff)
+    near = near.join(of_key, "key").join(wanted.select("wanted", F.col("key").alias("p_key")), "p_key").select("wanted", "tmdb", "entity_year", "score")
+    # names that the reading abbreviates
+    short = settle(wanted.select("norm", F.inline(abbreviation_keys(F.col("norm")))).distinct())
+    listed = ["initials", "side", "beside"]
+    spelled = told.rows.select("norm", "key", "entity_year", "tmdb").distinct().select("norm", "key", "entity_year", "tmdb", F.inline(initial_keys(F.col("norm")))).join(small(short.select(*listed).distinct()), listed, "left_semi")
+    spelled = settle(spelled.where(~F.array_contains(F.split("norm", " "), F.col("initials"))))
+    is_whole = N.match_key(F.col("run")) == F.col("key")
+    alone = top_k(spelled.where("side = ''").withColumn("whole", is_whole).select("initials", "whole", "entity_year", "tmdb", "norm").distinct(), ["initials", "whole", "entity_year"], [F.asc("tmdb"), F.asc("norm")], k)
+    alone = alone.join(short.where("side = ''").select("initials", F.col("norm").alias("own")), "initials").select("own", "norm", "tmdb", "entity_year")
+    beside = spelled.where("side <> ''").join(short.where("side <> ''").withColumnRenamed("norm", "own"), listed).select("own", "norm").distinct()
+    beside = beside.join(first_of("norm"), "norm").select("own", "norm", "tmdb", "entity_year")
+    met = settle(alone.unionByName(beside).distinct())
+    expanded = met.select("own", "norm").distinct().withColumn("as_run", expand_initials(F.col("own"), F.col("norm"))).where("as_run is not null")
+    expanded = settle(expanded).withColumn("score", name_score(F.col("as_run"), F.col("as_run"), F.col("norm"))).where(F.col("score") >= cutoff)
+    abbreviated = expanded.join(met, ["own", "norm"]).join(wanted.select("wanted", F.col("norm").alias("own")), "own").select("wanted", "tmdb", "entity_year", "score")
+
+    good = equal.unionByName(alike).unionByName(holds).unionByName(near).unionByName(abbreviated).where(F.col("score") >= cutoff)
+    good = settle(good.groupBy("wanted", "tmdb", "entity_year").agg(F.max("score").alias("score")))
+    rows = readings.select("title_id", F.col("name").alias("wanted"), (F.col("name_year").cast("int") if dated else F.lit(None).cast("int")).alias("name_year")).distinct()
     if dated:
-        met = met.where(G.year_accepted(F.col("entity_year"), F.col("name_year"), F.lit(False)))
-    else:
-        met = met.withColumn("name_year", F.lit(None).cast("int"))
-    best = top_k(met.groupBy("wanted", "name_year", "tmdb").agg(F.max("score").alias("score")), ["wanted", "name_year"], [F.desc("score"), F.asc("tmdb")], k)
-    rows = readings.select("title_id", F.col("name").alias("w"), (F.col("name_year") if dated else F.lit(None).cast("int")).alias("y")).distinct()
-    return rows.join(best, (F.col("w") == F.col("wanted")) & F.col("y").eqNullSafe(F.col("name_year"))).select("title_id", "wanted", "tmdb", "score")
+        met = rows.select("wanted", "name_year").distinct().join(good, "wanted").where(G.year_accepted(F.col("entity_year"), F.col("name_year"), F.lit(False)))
+        best = top_k(met.groupBy("wanted", "name_year", "tmdb").agg(F.max("score").alias("score")), ["wanted", "name_year"], [F.desc("score"), F.asc("tmdb")], k)
+        best = best.withColumnsRenamed({"wanted": "w", "name_year": "y"})
+        return rows.join(best, (F.col("wanted") == F.col("w")) & F.col("name_year").eqNullSafe(F.col("y"))).select("title_id", "wanted", "tmdb", "score")
+    best = top_k(good.groupBy("wanted", "tmdb").agg(F.max("score").alias("score")), ["wanted"], [F.desc("score"), F.asc("tmdb")], k)
+    return rows.join(best, "wanted").select("title_id", "wanted", "tmdb", "score")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -273,18 +382,21 @@ def search_with_retries(readings: DataFrame, names: DataFrame, words: DataFrame)
     ``words`` is the list of known words.
     """
 
+    told = searchable(names)
+
     def found(rows: DataFrame, step: int) -> DataFrame:
-        return scored_candidates(rows.select("title_id", "name"), names).select("title_id", "tmdb", "wanted", "score", F.lit(step).alias("step"))
+        return settle(scored_candidates(rows.select("title_id", "name"), told).select("title_id", "tmdb", "wanted", "score", F.lit(step).alias("step")))
 
+    readings = settle(readings)
     first = found(readings, 1)
-    rest = readings.join(first.select("title_id").distinct(), "title_id", "left_anti")
-    tokens = rest.select("title_id", "name", "year", F.posexplode(F.split(F.trim("name"), r"\s+")).alias("at", "token"))
+    rest = settle(readings.join(first.select("title_id").distinct(), "title_id", "left_anti"))
+    tokens = settle(rest.select("title_id", "name", "year", F.posexplode(F.split(F.trim("name"), r"\s+")).alias("at", "token")))
     unknown = unknown_words(tokens.select("token").distinct(), words).select("token", F.lit(False).alias("known"))
     flags = tokens.join(unknown, "token", "left").groupBy("title_id", "name", "year").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("known", F.lit(True)).alias("k")))).alias("f"))
-    short = flags.withColumn("d", drop_abbreviations(F.col("name"), F.transform("f", lambda x: x["k"]))).where("d is not null").select("title_id", F.col("d.rest").alias("name"), "year")
+    short = settle(flags.withColumn("d", drop_abbreviations(F.col("name"), F.transform("f", lambda x: x["k"]))).where("d is not null").select("title_id", F.col("d.rest").alias("name"), "year"))
     second = found(short, 2)
     left = rest.join(second.select("title_id").distinct(), "title_id", "left_anti")
-    drops = trailing_drops(left.select("title_id", "name", "year"))
+    drops = settle(trailing_drops(left.select("title_id", "name", "year")))
     third = found(drops, 3).join(drops.select("title_id", F.col("name").alias("wanted"), "dropped"), ["title_id", "wanted"])
     least = third.groupBy("title_id").agg(F.min("dropped").alias("dropped"))
     third = third.join(least, ["title_id", "dropped"]).drop("dropped")
