@@ -127,33 +127,46 @@ def _least_shared(total: Column, cutoff: float) -> Column:
 
 
 def _prefixes(rows: DataFrame, counts: DataFrame, name: str, cutoff: float) -> DataFrame:
-    """(show, ``name``, pair): the rarest letter pairs of each text, enough to meet any similar text."""
+    """(show, ``name``, pair, all, first): a row for each of the ``first`` rarest letter pairs of a text, enough to meet any
+    similar text; ``all`` are its pairs, rarest first."""
     size = F.length(name)
     pairs = rows.select("show", name, F.explode(_letter_pairs(F.col(name))).alias("pair")).join(counts, ["show", "pair"], "left")
     ranked = pairs.groupBy("show", name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair"))).alias("pairs"))
     # the least partner is the shortest one
     least = _least_shared(size + F.ceil(size * cutoff / (2 - cutoff) - 1e-9), cutoff)
-    first = F.slice("pairs", F.lit(1), F.greatest(F.size("pairs") - F.greatest(least, F.lit(0)) + 1, F.lit(1)).cast("int"))
+    first = F.greatest(F.size("pairs") - F.greatest(least, F.lit(0)) + 1, F.lit(1)).cast("int")
+    listed = ranked.select("show", name, F.transform("pairs", lambda p: p["pair"]).alias("all"), first.alias("first"), least.alias("least"))
     # texts so short that they need not share a pair meet under a mark of their own
-    short = F.when(least <= 0, F.array(F.lit("short"))).otherwise(F.array().cast("array<string>"))
-    return ranked.select("show", name, F.explode(F.concat(F.transform(first, lambda p: p["pair"]), short)).alias("pair"))
+    short = F.when(F.col("least") <= 0, F.array(F.lit(_SHORT))).otherwise(F.array().cast("array<string>"))
+    return listed.select("show", name, "all", "first", F.explode(F.concat(F.slice("all", F.lit(1), F.col("first")), short)).alias("pair"))
+
+
+_SHORT = "short"
 
 
 def fuzzy_pairs(probes: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
     """(show, p_key, key) of all pairs within a show whose similarity may reach the cutoff.
 
     Texts meet on their rarest letter pairs, so a show's titles are not paired
-    out and a large show is spread over its letter pairs; lengths and the count
-    of shared pairs leave few to be compared.
+    out and a large show is spread over its letter pairs. Two texts that meet on
+    several are kept where they meet on the rarest, so nothing is told apart
+    afterwards; lengths and the count of shared pairs leave few to be compared.
     """
     probes, keys = settle(probes.select("show", "p_key").distinct()), settle(keys.select("show", "key").distinct())
     if cutoff < BLOCKED:
         return probes.join(keys, "show").where(H.similarity_bound(F.col("p_key"), F.col("key")) >= cutoff)
     counts = settle(keys.select("show", F.explode(_letter_pairs(F.col("key"))).alias("pair")).groupBy("show", "pair").agg(F.count("*").alias("n")))
-    met = _prefixes(probes, counts, "p_key", cutoff).join(_prefixes(keys, counts, "key", cutoff), ["show", "pair"])
-    met = met.where(H.similarity_bound(F.col("p_key"), F.col("key")) >= cutoff).select("show", "p_key", "key").distinct()
-    shared = F.size(F.array_intersect(_letter_pairs(F.col("p_key")), _letter_pairs(F.col("key"))))
-    return met.where(shared >= _least_shared(F.length("p_key") + F.length("key"), cutoff))
+    left, right = _prefixes(probes, counts, "p_key", cutoff), _prefixes(keys, counts, "key", cutoff)
+    met = left.withColumnsRenamed({"all": "p_all", "first": "p_first"}).join(right, ["show", "pair"])
+    met = met.where(H.similarity_bound(F.col("p_key"), F.col("key")) >= cutoff)
+    least = _least_shared(F.length("p_key") + F.length("key"), cutoff)
+
+    def kept(shared: Column) -> Column:
+        rarest = F.try_element_at(shared, F.lit(1))
+        meets = F.coalesce((F.array_position("p_all", rarest) <= F.col("p_first")) & (F.array_position("all", rarest) <= F.col("first")), F.lit(False))
+        return (F.size(shared) >= least) & F.when(F.col("pair") == _SHORT, ~meets).otherwise(rarest == F.col("pair"))
+
+    return met.where(N.let(F.array_intersect("p_all", "all"), kept)).select("show", "p_key", "key")
 
 
 def match_fuzzy(probes: DataFrame, catalogue: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
@@ -164,11 +177,15 @@ def match_fuzzy(probes: DataFrame, catalogue: DataFrame, cutoff: float = FUZZY_C
     """
     p = probes.where(N.parse_marker(F.col("text"))["number"].isNull()).withColumn("p_key", N.match_key(F.col("text")))
     p = settle(p.where("p_key is not null"))
+    return p.join(_closest(p, catalogue, cutoff), ["show", "p_key"]).select("probe_id", "hit", "score")
+
+
+def _closest(probes: DataFrame, catalogue: DataFrame, cutoff: float) -> DataFrame:
+    """(show, p_key, hit, score): the closest catalogue title of each distinct key of a show."""
     c = exact_index(catalogue).select("show", "key", F.struct(*_HIT).alias("hit"))
-    scored = fuzzy_pairs(p, c, cutoff).withColumn("near", H.similarity(F.col("key"), F.col("p_key"))).where(F.col("near") >= cutoff)
+    scored = fuzzy_pairs(probes, c, cutoff).withColumn("near", H.similarity(F.col("key"), F.col("p_key"))).where(F.col("near") >= cutoff)
     best = scored.groupBy("show", "p_key").agg(F.max_by("key", F.struct("near", "key")).alias("key"))
-    best = best.withColumn("score", H.similarity(F.col("p_key"), F.col("key"))).join(c, ["show", "key"])
-    return p.join(best, ["show", "p_key"]).select("probe_id", "hit", "score")
+    return best.withColumn("score", H.similarity(F.col("p_key"), F.col("key"))).join(c, ["show", "key"]).select("show", "p_key", "hit", "score")
 
 
 def match_number(parsed: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -209,37 +226,99 @@ def shared_words(a: Column, b: Column) -> Column:
     return F.array_intersect(F.split(N.match_key(a), " "), F.split(N.match_key(b), " "))
 
 
+#: Kinds of keys in a title index: whole titles, bases with their part, and bases.
+WHOLE, PART, BASE = "whole", "part", "base"
+
+
+def title_index(catalogue: DataFrame) -> DataFrame:
+    """One index of all keys, (show, kind, key, part, hit).
+
+    Of rows with one whole key, or one base and part, the first counts; of
+    those with one base that of the lowest number. ``part`` is -1 where a key
+    has none.
+    """
+    row = lambda kind, key, part, *order: F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), part.alias("part"), F.struct(*[o.cast("long").alias(f"o{i}") for i, o in enumerate(order)]).alias("order"))
+    none, zero, at = F.lit(-1), F.lit(0), F.col("ordinal")
+    rows = [row(WHOLE, "key", none, zero, zero, at), row(BASE, "base", none, F.col("season"), F.col("episode"), at), F.when(F.col("part").isNotNull(), row(PART, "base", F.col("part"), zero, zero, at))]
+    keys = keyed(catalogue).select("show", F.struct(*_HIT).alias("hit"), F.inline(F.array_compact(F.array(*rows))))
+    return keys.groupBy("show", "kind", "key", "part").agg(F.min_by("hit", "order").alias("hit"))
+
+
+def _lookups(forms: Column, part: Column, text: Column) -> Column:
+    """What one text of a file asks the index: the exact rungs of its forms, and every word prefix for containment.
+
+    ``rank`` orders exact rungs (form, then rung); for a prefix it is its words,
+    and for a prefix with the part number the same. ``use`` tells them apart.
+    """
+    row = lambda use, rank, kind, key, number: F.struct(F.lit(use).alias("use"), rank.alias("rank"), F.lit(kind).alias("kind"), key.alias("key"), number.alias("part"))
+    none = F.lit(-1)
+
+    def rungs(f: Column) -> Column:
+        rank, marked, other = lambda n: f["form"] * 8 + n, f["part"].isNotNull(), f["base"] != f["key"]
+        return F.array_compact(
+            F.array(
+                row("exact", rank(1), WHOLE, f["key"], none), F.when(marked, row("exact", rank(2), PART, f["base"], f["part"])), row("exact", rank(3), BASE, f["key"], none),
+                F.when(other, row("exact", rank(4), WHOLE, f["base"], none)), F.when(other & ~marked, row("exact", rank(5), BASE, f["base"], none)),
+            )
+        )
+
+    def prefixes(words: Column) -> Column:
+        def of(n: Column) -> Column:
+            head = F.array_join(F.slice(words, F.lit(1), n), " ")
+            return F.array_compact(F.array(row("held", n, BASE, head, none), F.when(part.isNotNull(), row("part", n, PART, head, part))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), of))
+
+    return F.filter(F.concat(F.flatten(F.transform(forms, rungs)), N.let(F.split(text, " "), prefixes)), lambda x: x["key"] != "")
+
+
 def match_episodes(files: DataFrame, catalogue: DataFrame, cutoff: float = FUZZY_CUTOFF, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """The catalogue row of each file, with method and score.
 
     ``files``: file_id, show, path, segment_title, season, first. Texts in order:
     the file's title, the segment title, the title without the show's name; each
     raw, cut at the first release token, and without tokens; then contained
-    titles, then similar ones. What an earlier step settles leaves the rest.
+    titles, then similar ones, before the next text. All exact rungs and
+    contained titles of all texts meet one index of titles in one join; what no
+    earlier text settled is compared by similarity.
     """
     catalogue = settle(keyed(catalogue))
     files = settle(files.withColumn("own", N.title_from_filename(F.col("path"), vocab=vocab)))
-    probes = files.select(
-        "file_id", "show", "season", "first", F.posexplode(F.array("own", "segment_title", N.without_show(F.col("own"), F.col("show")))).alias("place", "raw")
-    ).where("raw is not null")
-    clean = F.regexp_replace(F.regexp_replace(F.col("raw"), vocab.word, " "), "^[ ._-]+|[ ._-]+$", "")
-    forms = F.posexplode(F.array("raw", N.cut_release_fields(F.col("raw"), vocab), clean)).alias("form", "text")
-    texts = probes.select("file_id", "show", "season", "first", "place", forms).where("text <> ''")
-    texts = settle(texts.withColumn("probe_id", F.col("file_id") * 16 + F.col("place") * 4 + F.col("form")))
-    order = F.col("probe_id")
-    exact = match_exact(texts, catalogue).where("hit is not null").select("file_id", F.struct(order.alias("o"), "hit", F.lit("exact").alias("method"), F.lit(1.0).alias("score")).alias("m"))
-    exact = settle(exact)
-    last = texts.where("form = 2")
-    held = match_contained(last, catalogue).join(last.select("probe_id", "file_id"), "probe_id")
-    held = settle(held.select("file_id", "accepted", F.struct((order + 3).alias("o"), "hit", F.lit("contains").alias("method"), F.col("share").alias("score")).alias("m")))
-    found = exact.unionByName(held.where("accepted").select("file_id", "m"))
-    rest = last.join(found.select("file_id").distinct(), "file_id", "left_anti")
-    fuzzy = match_fuzzy(rest, catalogue, cutoff).join(rest.select("probe_id", "file_id"), "probe_id")
-    found = found.unionByName(fuzzy.select("file_id", F.struct((order + 3).alias("o"), "hit", F.lit("fuzzy").alias("method"), "score").alias("m")))
-    best = found.groupBy("file_id").agg(F.min_by("m", F.col("m.o")).alias("m"))
+    stripped = lambda c: N.strip_release_tag(c, vocab)
+    texts = F.posexplode(F.array("own", stripped(F.col("segment_title")), stripped(F.col("rest")))).alias("place", "raw")
+    probes = settle(settle(files.withColumn("rest", N.without_show(F.col("own"), F.col("show")))).select("file_id", "show", "season", "first", texts).where("raw <> ''"))
+    clean = F.btrim(F.regexp_replace(F.col("raw"), vocab.word, " "), F.lit(" ._-"))
+    forms = settle(probes.select("file_id", "show", "season", "first", "place", F.posexplode(F.array("raw", N.cut_release_fields(F.col("raw"), vocab), clean)).alias("form", "text")))
+    forms = forms.withColumn("m", N.parse_marker(F.col("text"))).select("file_id", "show", "season", "first", "place", "form", N.match_key(F.col("text")).alias("key"), N.match_key(F.col("m.base")).alias("base"), F.col("m.number").alias("part"))
+    forms = forms.groupBy("file_id", "place").agg(*[F.first(c).alias(c) for c in ("show", "season", "first")], F.array_sort(F.collect_list(F.struct("form", "key", "base", "part"))).alias("forms"))
+    cut, last = F.col("forms")[1], F.col("forms")[2]
+    # a marker that only the cut text shows keeps a part that is not listed off the first part
+    text = F.when(cut["part"].isNotNull(), cut["base"]).when(last["part"].isNotNull(), last["base"]).otherwise(last["key"])
+    forms = settle(forms.select("file_id", "place", "show", "season", "first", "forms", F.coalesce(cut["part"], last["part"]).alias("number"), text.alias("text")))
+    asked = forms.select("file_id", "place", "show", F.inline(_lookups(F.col("forms"), F.col("number"), F.col("text"))))
+    met = asked.join(title_index(catalogue), ["show", "kind", "key", "part"])
+    only = lambda use, c: F.when(F.col("use") == use, F.col(c))
+    met = met.groupBy("file_id", "place").agg(
+        F.min_by(only("exact", "hit"), only("exact", "rank")).alias("exact"), F.max_by(only("held", "hit"), only("held", "rank")).alias("held"), F.max(only("held", "rank")).alias("held_words"),
+        F.max_by(only("part", "hit"), only("part", "rank")).alias("in_part"), F.max(only("part", "rank")).alias("part_words"),
+    )
+    rows = forms.join(met, ["file_id", "place"], "left")
+    contained = F.when(F.col("number").isNull(), F.col("held")).when(F.col("part_words") == F.col("held_words"), F.col("in_part"))
+    share = F.col("held_words") / F.size(F.split("text", " "))
+    own = (contained["season"] == F.col("season")) & (contained["episode"] == F.col("first"))
+    taken = contained.isNotNull() & ((share >= CONTAINED_SHARE) | F.coalesce(own, F.lit(False)))
+    answer = lambda hit, method, score: F.struct("place", hit.alias("hit"), F.lit(method).alias("method"), score.cast("double").alias("score"))
+    sure = F.when(F.col("exact").isNotNull(), answer(F.col("exact"), "exact", F.lit(1.0))).when(taken, answer(contained, "contains", share))
+    rows = settle(rows.select("file_id", "show", "place", "number", last["key"].alias("p_key"), sure.alias("sure"), F.when(~taken, answer(contained, "contains", share)).alias("refused")))
+    firm = rows.groupBy("file_id").agg(F.min(F.when(F.col("sure").isNotNull(), F.col("place"))).alias("firm"))
+    # a similar title of an earlier text goes before a sure one of a later text
+    open_ = settle(rows.join(firm, "file_id").where("number is null and p_key <> '' and (firm is null or place < firm)").select("file_id", "place", "show", "p_key"))
+    close = open_.join(_closest(open_, catalogue, cutoff), ["show", "p_key"]).select("file_id", answer(F.col("hit"), "fuzzy", F.col("score")).alias("m"))
+    found = rows.where("sure is not null").select("file_id", F.col("sure").alias("m")).unionByName(close)
+    best = found.groupBy("file_id").agg(F.min_by("m", F.col("m.place")).alias("m"))
     # a refused hit wins if nothing else did and the listed title of the own number shares no word
     listed = catalogue.select("show", "season", F.col("episode").alias("first"), F.col("title").alias("listed"))
-    refused = held.where("not accepted").groupBy("file_id").agg(F.min_by("m", F.col("m.o")).alias("refused"))
+    refused = rows.where("refused.hit is not null").groupBy("file_id").agg(F.min_by("refused", "place").alias("refused"))
     out = files.join(best, "file_id", "left").join(refused, "file_id", "left").join(_first(listed, ["show", "season", "first"], ["listed"]), ["show", "season", "first"], "left")
     apart = F.col("listed").isNotNull() & (F.size(F.filter(shared_words(F.col("listed"), F.col("own")), lambda w: w != "")) == 0)
     chosen = F.coalesce(F.col("m"), F.when(apart, F.col("refused")))

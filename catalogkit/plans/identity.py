@@ -229,11 +229,22 @@ h AS (SELECT p.*, bi.base, bi.season AS bs, bi.episode AS be, array_length(strin
 j AS (SELECT h.*, CASE WHEN n IS NULL THEN bs ELSE pi.season END AS s, CASE WHEN n IS NULL THEN be ELSE pi.episode END AS e FROM h LEFT JOIN pi ON pi.show = h.show AND pi.base = h.base AND pi.part = h.n)
 SELECT probe_id, s AS season, e AS episode, round(share, 6) AS share, share >= 0.5 OR (s = season AND e = first) AS accepted FROM j WHERE s IS NOT NULL""",
 )
-_CASCADE = f"""{_EP}, f AS (SELECT f.file_id, f.show, coalesce(ex.season, bi.season) AS s, coalesce(ex.episode, bi.episode) AS e, coalesce(ex.title, bi.title) AS t FROM v_file f LEFT JOIN ex ON ex.show = f.show AND ex.key = {_key('f.title')} LEFT JOIN bi ON bi.show = f.show AND bi.base = {_key('f.title')})"""
-oracle("j26_match_episodes", f"WITH {_CASCADE} SELECT file_id, 'exact' AS method, s AS season, e AS episode, CAST(1.0 AS DOUBLE) AS score FROM f")
+_CASCADE = f"""{_EP}, li AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY show, season, episode ORDER BY title) = 1),
+q AS (SELECT file_id, show, season, episode, file_id % 12 AS k, {_key('title')} AS t, length({_key('title')}) AS n FROM v_file),
+x AS (SELECT q.*, li.title AS lt, len(list_intersect(string_split(li.key, ' '), string_split(q.t, ' '))) = 0 AS apart, bi.season = q.season AND bi.episode = q.episode AS own,
+  CASE WHEN k = 9 THEN coalesce(e2.title, pi.title, ex.title) WHEN k = 10 THEN coalesce(e3.title, pi.title, ex.title) WHEN k IN (3, 6, 7) THEN bi.title WHEN k = 5 THEN coalesce(ex.title, e0.title, e9.title, CASE WHEN 2 * n / (2 * n + 3) >= 0.82 THEN coalesce(e2.title, e1.title) END) ELSE coalesce(ex.title, bi.title) END AS title,
+  CASE WHEN k = 9 THEN coalesce(e2.season, pi.season, ex.season) WHEN k = 10 THEN coalesce(e3.season, pi.season, ex.season) WHEN k IN (3, 6, 7) THEN bi.season WHEN k = 5 THEN coalesce(ex.season, e0.season, e9.season, CASE WHEN 2 * n / (2 * n + 3) >= 0.82 THEN coalesce(e2.season, e1.season) END) ELSE coalesce(ex.season, bi.season) END AS s,
+  CASE WHEN k = 9 THEN coalesce(e2.episode, pi.episode, ex.episode) WHEN k = 10 THEN coalesce(e3.episode, pi.episode, ex.episode) WHEN k IN (3, 6, 7) THEN bi.episode WHEN k = 5 THEN coalesce(ex.episode, e0.episode, e9.episode, CASE WHEN 2 * n / (2 * n + 3) >= 0.82 THEN coalesce(e2.episode, e1.episode) END) ELSE coalesce(ex.episode, bi.episode) END AS e, ex.title IS NOT NULL AS plain, e0.title IS NOT NULL AS shorter, e9.title IS NOT NULL AS longer
+  FROM q LEFT JOIN ex ON ex.show = q.show AND ex.key = t LEFT JOIN bi ON bi.show = q.show AND bi.base = t LEFT JOIN pi ON pi.show = q.show AND pi.base = t AND pi.part = 2
+  LEFT JOIN ex e0 ON e0.show = q.show AND e0.key = substr(t, 2) LEFT JOIN ex e9 ON e9.show = q.show AND e9.key = 'c' || t LEFT JOIN ex e1 ON e1.show = q.show AND e1.key = t || ' 1' LEFT JOIN ex e2 ON e2.show = q.show AND e2.key = t || ' 2' LEFT JOIN ex e3 ON e3.show = q.show AND e3.key = t || ' part two' LEFT JOIN li ON li.show = q.show AND li.season = q.season AND li.episode = q.episode),
+f AS (SELECT file_id, show, season AS own_s, episode AS own_e, lt, CASE WHEN method <> 'none' THEN s END AS s, CASE WHEN method <> 'none' THEN e END AS e, CASE WHEN method <> 'none' THEN title END AS t, method,
+  CAST(round(CASE method WHEN 'exact' THEN 1.0 WHEN 'contains' THEN CASE WHEN k = 3 THEN 0.5 ELSE 2 / 6 END WHEN 'fuzzy' THEN CASE WHEN plain THEN 2 * n / (2 * n + 1) WHEN shorter THEN (n - 1) / n WHEN longer THEN n / (n + 1) ELSE 2 * n / (2 * n + 3) END ELSE 0.0 END, 6) AS DOUBLE) AS score
+  FROM (SELECT *, CASE WHEN title IS NULL OR k = 8 THEN 'none' WHEN k = 5 THEN 'fuzzy' WHEN k = 3 THEN 'contains' WHEN k IN (6, 7) THEN CASE WHEN own OR apart THEN 'contains' ELSE 'none' END ELSE 'exact' END AS method FROM x))"""
+oracle("j26_match_episodes", f"WITH {_CASCADE} SELECT file_id, method, s AS season, e AS episode, score FROM f")
 oracle(
     "j27_identify_tv",
-    f"""WITH {_CASCADE} SELECT file_id, show, s AS season, e AS episode, CAST(NULL AS BIGINT) AS last, CASE WHEN {_part('t')} IS NOT NULL THEN {_base('t')} || ', Part ' || ({_part('t')}) ELSE t END AS title, true AS shared, 'exact' AS method, CAST(1.0 AS DOUBLE) AS score FROM f""",
+    f"""WITH {_CASCADE}, g AS (SELECT file_id, show, coalesce(s, own_s) AS season, coalesce(e, own_e) AS episode, coalesce(t, lt) AS t, CASE WHEN method = 'none' THEN 'number' ELSE method END AS method, score FROM f)
+SELECT file_id, show, season, episode, CAST(NULL AS BIGINT) AS last, CASE WHEN {_part('t')} IS NOT NULL THEN {_base('t')} || ', Part ' || ({_part('t')}) ELSE t END AS title, true AS shared, method, score FROM g""",
 )
 oracle(
     "j13_episode_range",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import figures as G
 from ..functions import names as N
 from ..functions.constants import CODEC_EFFICIENCY
+from ..functions.vocabulary import Vocabulary
 from ..operators import audit, compare, crops, episodes, resolve, rules, standards, state, tracks, verify
 from ..sources import readers
 from ..streaming import jobs
@@ -793,19 +794,30 @@ def j13(spark, d):
     return episodes.episode_range(m, view(spark, d, "v_episode"))
 
 
+#: A vocabulary with one group, beside the built-in words and media sources.
+SPARKS = Vocabulary(groups=frozenset({"sparks"}))
+
+
 def _episode_files(spark, d):
-    path = F.concat_ws("/", F.lit("lib"), "show", F.concat(F.lit("Season 0"), F.col("season").cast("string")), F.concat(N.episode_filename(F.col("show"), F.col("season"), F.col("episode"), F.col("title"))))
-    return _files(spark, d).select("file_id", "show", path.alias("path"), F.lit(None).cast("string").alias("segment_title"), "season", F.col("episode").alias("first"), F.col("episode").alias("last"), F.lit(False).alias("weak"), "duration_s")
+    """Files whose titles are told whole, with an ending, by the segment only, misspelt, too long, not at all, or with a part."""
+    k, title = F.col("file_id") % 12, F.col("title")
+    own = (
+        F.when(k < 2, title).when(k == 2, F.concat(title, F.lit(" PDTV-SPARKS"))).when(k.isin(3, 4), F.lit("zzzz qqqq")).when(k == 5, F.concat(title, F.lit("x"))).when(k.isin(6, 7), F.concat(title, F.lit(" aa bb cc dd")))
+        .when(k == 8, F.lit("zzzz qqqq")).when(k == 9, F.concat(title, F.lit(" (2)"))).when(k == 10, F.concat(title, F.lit(", Part Two (1080p)"))).otherwise(F.concat("show", F.lit(" "), title))
+    )
+    segment = F.when(k == 3, F.concat(title, F.lit(" extra words"))).when(k == 4, F.concat(title, F.lit(" [TVRip]")))
+    path = F.concat_ws("/", F.lit("lib"), "show", F.concat(F.lit("Season 0"), F.col("season").cast("string")), F.concat(N.episode_filename(F.col("show"), F.col("season"), F.col("episode"), own)))
+    return _files(spark, d).select("file_id", "show", path.alias("path"), segment.alias("segment_title"), "season", F.col("episode").alias("first"), F.col("episode").alias("last"), (k == 8).alias("weak"), "duration_s")
 
 
 @query("j26_match_episodes")
 def j26(spark, d):
-    return episodes.match_episodes(_episode_files(spark, d), view(spark, d, "v_episode")).select("file_id", "method", "hit.season", "hit.episode", F.round("score", 6).alias("score"))
+    return episodes.match_episodes(_episode_files(spark, d), view(spark, d, "v_episode"), vocab=SPARKS).select("file_id", "method", "hit.season", "hit.episode", F.round("score", 6).alias("score"))
 
 
 @query("j27_identify_tv")
 def j27(spark, d):
-    return episodes.identify_tv(_episode_files(spark, d), view(spark, d, "v_episode"))
+    return episodes.identify_tv(_episode_files(spark, d), view(spark, d, "v_episode"), SPARKS).withColumn("score", F.round("score", 6))
 
 
 # Identity
