@@ -1,7 +1,8 @@
 """Streams T1 to T6 and their batch twins.
 
-State is kept per path, title or key and is dropped by timers, so it does not
-grow with what has gone.
+State is kept per path, title or key in the RocksDB state store, on the
+executors' disks with changes in the checkpoint, and goes by timers of event
+time or by its time to live, so it does not grow with what has gone.
 """
 
 from __future__ import annotations
@@ -12,12 +13,56 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import figures as G
 from ..operators import audit
 
 
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, output: str, mode: str, time: str) -> DataFrame:
+    """``df`` by ``key`` through ``processor``; its session keeps state in RocksDB from here on, as timers and times to live need it."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    return df.groupBy(key).transformWithStateInPandas(processor, output, mode, time)
+
+
+def _ms(at: pd.Timestamp) -> int:
+    return at.value // 1_000_000
+
+
+class _Timed(StatefulProcessor):
+    """One value for each key, and at most one timer, whose time is kept beside the value."""
+
+    schema = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", self.schema)
+        self.timer = handle.getValueState("timer", "at long")
+
+    def close(self) -> None:
+        pass
+
+    def set_timer(self, at: int) -> None:
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def forget(self) -> None:
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+            self.timer.clear()
+        self.held.clear()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        self.held.clear()
+        return iter([])
+
+
 def stable_polls(polls: DataFrame, quiet_s: float = 30.0) -> DataFrame:
     """W9 and the batch twin of T1: polls (path, size, quiet_s, polled_at, event_id) at which a file is stable.
 
@@ -42,23 +87,27 @@ def stable_arrivals(polls: DataFrame, quiet_s: float = 30.0, forget: str = "1 ho
     A path that is not polled for ``forget`` of event time is forgotten.
     """
     wait = int(pd.Timedelta(forget).total_seconds() * 1000)
+    keyed = polls.withWatermark("polled_at", "10 minutes")
+    return _stateful(keyed, "path", _Arrivals(quiet_s, wait), "path string, size long, polled_at timestamp", "append", "EventTime")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        size, done = state.get if state.exists else (None, False)
-        rows = pd.concat(list(batches)).sort_values(["polled_at", "event_id"])
-        for r in rows.itertuples():
-            if not done and r.quiet_s >= quiet_s and size == r.size:
+
+class _Arrivals(_Timed):
+    schema = "size long, done boolean"
+
+    def __init__(self, quiet_s: float, wait: int):
+        self.quiet_s, self.wait = quiet_s, wait
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        size, done = self.held.get() if self.held.exists() else (None, False)
+        polls, out = pd.concat(list(rows)).sort_values(["polled_at", "event_id"]), []
+        for r in polls.itertuples():
+            if not done and r.quiet_s >= self.quiet_s and size == r.size:
                 done = True
-                yield pd.DataFrame({"path": [key[0]], "size": [r.size], "polled_at": [r.polled_at]})
+                out.append(pd.DataFrame({"path": [key[0]], "size": [r.size], "polled_at": [r.polled_at]}))
             size = int(r.size)
-        state.update((size, done))
-        state.setTimeoutTimestamp(max(int(rows["polled_at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + wait)
-
-    keyed = polls.withWatermark("polled_at", "10 minutes").groupBy("path")
-    return keyed.applyInPandasWithState(step, "path string, size long, polled_at timestamp", "size long, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+        self.held.update((size, done))
+        self.set_timer(max(_ms(polls["polled_at"].max()), timerValues.getCurrentWatermarkInMs()) + self.wait)
+        return iter(out)
 
 
 def current_stage(history: DataFrame) -> DataFrame:
@@ -87,13 +136,31 @@ def progress_blocks(lines: DataFrame) -> DataFrame:
     return out.select("title_id", frame.alias("frame"), fps.alias("fps"), G.eta_seconds(frame, total, fps).alias("eta_s"), "progress")
 
 
-def encode_progress(lines: DataFrame) -> DataFrame:
-    """After each complete block, the frame, fps and seconds left of its title; state ends with ``progress=end``."""
+def encode_progress(lines: DataFrame, keep: str | None = None) -> DataFrame:
+    """After each complete block, the frame, fps and seconds left of its title.
+
+    State ends with ``progress=end``. With ``keep`` it also ends once a title has
+    said nothing for so long by the clock; such a query runs batches for the
+    clock's sake, so it suits one that is never done, not a bounded run.
+    """
+    keep_ms = None if keep is None else int(pd.Timedelta(keep).total_seconds() * 1000)
+    return _stateful(lines, "title_id", _Progress(keep_ms), "title_id long, frame long, fps double, eta_s long, progress string", "update", "None" if keep is None else "ProcessingTime")
+
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: list[Any] = list(state.get) if state.exists else [None, None, None]
+class _Progress(StatefulProcessor):
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("block", ", ".join(f"{n} string" for n in _BLOCK), self.keep_ms)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held: list[Any] = list(self.held.get()) if self.held.exists() else [None, None, None]
         out, ended = None, False
-        for line in pd.concat(list(batches)).sort_values("seq")["line"]:
+        for line in pd.concat(list(rows)).sort_values("seq")["line"]:
             name, _, value = line.partition("=")
             name, value = name.strip(), value.strip()
             if name in _BLOCK:
@@ -103,16 +170,10 @@ def encode_progress(lines: DataFrame) -> DataFrame:
                 eta = int(max(0, total - frame) // fps) if fps and fps > 0 and total == total and frame == frame else None
                 out, ended = {"title_id": key[0], "frame": frame, "fps": fps, "eta_s": eta, "progress": value}, value == "end"
         if ended:
-            state.remove()
+            self.held.clear()
         else:
-            state.update(tuple(held))
-        if out is not None:
-            df = pd.DataFrame([out])
-            yield df.astype({"frame": "Int64", "eta_s": "Int64"})
-
-    return lines.groupBy("title_id").applyInPandasWithState(
-        step, "title_id long, frame long, fps double, eta_s long, progress string", "frame string, fps string, total string", "update", GroupStateTimeout.NoTimeout
-    )
+            self.held.update(tuple(held))
+        return iter([] if out is None else [pd.DataFrame([out]).astype({"frame": "Int64", "eta_s": "Int64"})])
 
 
 #: Changes that are kept apart before they are folded into the stored findings.
@@ -182,20 +243,25 @@ def due_holds(holds: DataFrame, now: Column) -> DataFrame:
 
 def retry_timers(holds: DataFrame) -> DataFrame:
     """T5: a held title (title_id, at, retry_after; timestamps) once the watermark passes its retry time; a later hold replaces the timer."""
+    return _stateful(holds.withWatermark("at", "0 seconds"), "title_id", _Retries(), "title_id long, retry_after timestamp", "append", "EventTime")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (due,) = state.get
-            state.remove()
-            yield pd.DataFrame({"title_id": [key[0]], "retry_after": [pd.Timestamp(due, unit="ms")]})
-            return
-        last = pd.concat(list(batches)).sort_values("at").iloc[-1]
-        due = int(last["retry_after"].timestamp() * 1000)
-        state.update((due,))
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
-    keyed = holds.withWatermark("at", "0 seconds").groupBy("title_id")
-    return keyed.applyInPandasWithState(step, "title_id long, retry_after timestamp", "due long", "append", GroupStateTimeout.EventTimeTimeout)
+class _Retries(_Timed):
+    schema = "at long, due long"
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        last = pd.concat(list(rows)).sort_values("at").iloc[-1]
+        at = last["at"].value
+        if not self.held.exists() or self.held.get()[0] <= at:
+            due = _ms(last["retry_after"])
+            self.held.update((at, due))
+            self.set_timer(max(due, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        due = self.held.get()[1]
+        super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        return iter([pd.DataFrame({"title_id": [key[0]], "retry_after": [pd.Timestamp(due, unit="ms")]})])
 
 
 def lockouts(logins: DataFrame, n: int = 5, seconds: int = 900) -> DataFrame:
@@ -216,29 +282,31 @@ def lockouts(logins: DataFrame, n: int = 5, seconds: int = 900) -> DataFrame:
 
 def lockout_stream(logins: DataFrame, n: int = 5, seconds: int = 900) -> DataFrame:
     """T6 on a stream: the failures after which a key is blocked; a key's state ends when its failures are old."""
+    output = "event_id long, key string, at timestamp, until timestamp"
+    return _stateful(logins.withWatermark("at", "10 minutes"), "key", _Lockouts(n, seconds), output, "append", "EventTime")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent: list[int] = list(state.get[0]) if state.exists else []
+
+class _Lockouts(_Timed):
+    schema = "recent array<long>"
+
+    def __init__(self, n: int, seconds: int):
+        self.n, self.seconds = n, seconds
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        recent: list[int] = list(self.held.get()[0]) if self.held.exists() else []
         out = []
-        for r in pd.concat(list(batches)).sort_values(["at", "event_id"]).itertuples():
+        for r in pd.concat(list(rows)).sort_values(["at", "event_id"]).itertuples():
             us = r.at.value // 1000
             if r.ok:
                 recent = []
             elif r.failed:
-                recent = [x for x in recent if us - x < seconds * 1_000_000] + [us]
-                if len(recent) >= n:
-                    out.append({"event_id": r.event_id, "key": key[0], "at": r.at, "until": pd.Timestamp(recent[-n] + seconds * 1_000_000, unit="us")})
-        recent = recent[-n:]
+                recent = [x for x in recent if us - x < self.seconds * 1_000_000] + [us]
+                if len(recent) >= self.n:
+                    out.append({"event_id": r.event_id, "key": key[0], "at": r.at, "until": pd.Timestamp(recent[-self.n] + self.seconds * 1_000_000, unit="us")})
+        recent = recent[-self.n :]
         if recent:
-            state.update((recent,))
-            state.setTimeoutTimestamp(max(recent[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame(out)
-
-    keyed = logins.withWatermark("at", "10 minutes").groupBy("key")
-    return keyed.applyInPandasWithState(step, "event_id long, key string, at timestamp, until timestamp", "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+            self.held.update((recent,))
+            self.set_timer(max(recent[-1] // 1000 + self.seconds * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        else:
+            self.forget()
+        return iter([pd.DataFrame(out)] if out else [])

@@ -1,6 +1,8 @@
 """Operators on small tables, and sources and streams against their batch twins."""
 
+import datetime
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,6 +167,44 @@ def test_progress_stream_equals_batch(spark, tmp_path):
     assert want[0] == (1, 60, 5.0, 10, "continue") and sorted(map(tuple, got.collect())) == want
 
 
+def test_silent_titles_are_forgotten(spark, tmp_path):
+    """With a time to live, a block does not go on after a long silence."""
+    lines = lambda *x: spark.createDataFrame([(1, i, t) for i, t in x], "title_id long, seq long, line string").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    lines((0, "frame=10"), (1, "progress=continue"))
+    stream = jobs.encode_progress(spark.readStream.schema("title_id long, seq long, line string").parquet(str(tmp_path / "t")), "2 seconds")
+    q = stream.writeStream.format("memory").queryName("silent").outputMode("update").start()
+    try:
+        told = lambda: [r.frame for r in spark.table("silent").collect()]
+        for n in (1, 2):
+            until = time.time() + 60
+            while len(told()) < n and time.time() < until:
+                time.sleep(0.5)
+            if n == 1:
+                time.sleep(4)
+                lines((2, "progress=continue"))
+        assert told() == [10, None]
+    finally:
+        q.stop()
+
+
+def test_restart_from_the_checkpoint(spark, tmp_path):
+    """A job that is stopped and started again goes on with the state of its checkpoint."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = lambda *x: spark.createDataFrame([(i, "k", start + datetime.timedelta(minutes=m), True, False) for i, m in x], "event_id long, key string, at timestamp, failed boolean, ok boolean")
+    found = []
+
+    def step(more):
+        more.coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+        stream = jobs.lockout_stream(spark.readStream.schema(more.schema).parquet(str(tmp_path / "r")), n=3)
+        q = stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, _: found.extend(r.event_id for r in df.collect())).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    step(rows((1, 0), (2, 1)))
+    assert found == []
+    step(rows((3, 2), (4, 30)))
+    assert found == [3]
+
+
 def test_continuous_audit(spark, tmp_path, monkeypatch):
     rows = lambda *r: spark.createDataFrame(r, "path string, size long, mtime double")
     source, seen = str(tmp_path / "listing"), []
