@@ -94,8 +94,52 @@ def _length(text: str) -> int | None:
     return int(text) if re.fullmatch(r"[0-9]{1,18}", text) else None
 
 
+def _unchunked(body: bytes) -> bytes:
+    """The body of a chunked transfer; raises BadRecord."""
+    out, at = [], 0
+    while True:
+        line, gap, _ = body[at : at + 64].partition(b"\r\n")
+        size = line.partition(b";")[0].strip()
+        if not gap or not re.fullmatch(rb"[0-9A-Fa-f]{1,12}", size):
+            raise BadRecord("a chunk without its size")
+        start, n = at + len(line) + 2, int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        if body[start + n : start + n + 2] != b"\r\n":
+            raise BadRecord("a chunk is cut off")
+        out.append(body[start : start + n])
+        at = start + n + 2
+
+
+def _http(block: bytes, truncated: bool) -> tuple[int | None, bytes]:
+    """(stated length, payload) of an HTTP block. A chunked body is put together; one without a length is taken as it is."""
+    head, gap, payload = block.partition(b"\r\n\r\n")
+    if not gap or not head.startswith(b"HTTP/"):
+        raise BadRecord("no HTTP header")
+    values = lambda name: [x.partition(b":")[2].strip() for x in head.split(b"\r\n") if x.lower().startswith(name)]
+    lengths = values(b"content-length:")
+    if b"chunked" in b",".join(values(b"transfer-encoding:")).lower() and payload:
+        return None, payload if truncated else _unchunked(payload)
+    if len(set(lengths)) > 1:
+        raise BadRecord("several HTTP lengths")
+    if not lengths:
+        return None, payload
+    stated = _length(lengths[0].decode("latin-1"))
+    if stated is None:
+        raise BadRecord("the HTTP length is not a number")
+    if payload and stated != len(payload) and not truncated:
+        raise BadRecord("payload length does not match the HTTP header")
+    return stated, payload
+
+
 def parse(data: bytes) -> dict:
-    """The fields of one record, checked; raises BadRecord."""
+    """The fields of one record, checked; raises BadRecord.
+
+    Responses and revisits are read as HTTP; the payload of any other type
+    (warcinfo, request, metadata, resource, conversion) is its block. A SHA-256
+    digest is checked, one of another kind is not; the digest given back is
+    always the payload's SHA-256, or that of its response for a revisit.
+    """
     head, gap, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not gap or not lines[0].startswith("WARC/1."):
@@ -112,24 +156,18 @@ def parse(data: bytes) -> dict:
     length = _length(fields["content-length"])
     if length is None or len(rest) != length + 4 or not rest.endswith(b"\r\n\r\n"):
         raise BadRecord("content-length does not match the block")
-    block = rest[:-4]
-    http, gap, payload = block.partition(b"\r\n\r\n")
-    stated = [_length(x.partition(b":")[2].strip().decode("latin-1")) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-    if not gap or len(stated) != 1:
-        raise BadRecord("no HTTP header")
-    if stated[0] is None:
-        raise BadRecord("the HTTP length is not a number")
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-    if fields["warc-type"] == "response":
-        if stated[0] != len(payload):
-            raise BadRecord("payload length does not match the HTTP header")
-        if hashlib.sha256(payload).hexdigest() != digest:
-            raise BadRecord("payload digest does not match")
-    elif fields["warc-type"] == "revisit":
-        if payload or "warc-refers-to" not in fields:
+    block, kind = rest[:-4], fields["warc-type"]
+    stated, payload = None, block
+    if kind in ("response", "revisit") and (block or kind == "response"):
+        stated, payload = _http(block, "warc-truncated" in fields)
+    digest = hashlib.sha256(payload).hexdigest()
+    told = fields.get("warc-payload-digest", "").lower().partition("sha256:")[2]
+    if kind == "revisit":
+        if payload or not fields.keys() & {"warc-refers-to", "warc-refers-to-target-uri"}:
             raise BadRecord("a revisit with a payload or without its response")
-    else:
-        raise BadRecord(f"unknown type {fields['warc-type']}")
+        digest = told or None
+    elif told and told != digest and "warc-truncated" not in fields:
+        raise BadRecord("payload digest does not match")
 
     def page(key: str) -> int | None:
         value = fields.get(key, "").removeprefix("<urn:page:").removesuffix(">")
@@ -137,7 +175,7 @@ def parse(data: bytes) -> dict:
 
     return {
         "page_id": page("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "refers_to": page("warc-refers-to"),
-        "payload_bytes": stated[0], "payload_digest": digest, "payload": payload if fields["warc-type"] == "response" else None,
+        "payload_bytes": stated if kind == "revisit" else len(payload), "payload_digest": digest, "payload": None if kind == "revisit" else payload,
     }
 
 
@@ -248,7 +286,7 @@ def read(spark, path: str) -> DataFrame:
                         if magic != FRAME_MAGIC:
                             continue
                         try:
-                            row = parse(opener.decompress(frame))
+                            row = parse(opener.decompressobj().decompress(frame))
                         except (ValueError, zstandard.ZstdError) as e:
                             row = {"error": str(e)}
                         held.append({"archive": archive, **row})

@@ -65,6 +65,33 @@ def test_damage_stays_local_and_compressed_dictionary(spark, tmp_path):
         assert sorted(r.page_id for r in rows if not r.error) == [0, 1, 3, 5] and sum(bool(r.error) for r in rows) == 2
 
 
+def test_archives_of_another_writer(spark, tmp_path):
+    """Frames without a content size, other record types, chunked bodies, other digests and repeated columns."""
+
+    def record(kind, block, *more):
+        fields = [f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2020-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}"]
+        return ("WARC/1.0\r\n" + "\r\n".join(fields) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    ok = b"HTTP/1.1 200 OK\r\n"
+    chunked = ok + b"Transfer-Encoding: chunked\r\n\r\n4\r\nWiki\r\n6;x=1\r\npedia \r\n0\r\n\r\n"
+    records = [
+        record("warcinfo", b"software: x\r\n"), record("request", b"GET / HTTP/1.1\r\n\r\n"), record("metadata", b"a: b"), record("resource", b"\x00raw"), record("response", chunked, "WARC-Payload-Digest: sha1:ABC", "WARC-Target-URI: http://x"),
+        record("response", ok + b"\r\nplain"), record("response", ok + b"Content-Length: 9\r\n\r\ncut", "WARC-Truncated: length"), record("revisit", b"", "WARC-Refers-To-Target-URI: http://x"),
+        record("response", ok + b"Content-Length: 9\r\n\r\ncut"), record("response", ok + b"Transfer-Encoding: chunked\r\n\r\nzz"), record("response", b"nothing"),
+    ]
+
+    def streamed(data):
+        packer = zstandard.ZstdCompressor(write_content_size=False).compressobj()
+        return packer.compress(data) + packer.flush()
+
+    (tmp_path / "part-0").write_bytes(b"".join(map(streamed, records)))
+    rows = warc.read(spark, f"file://{tmp_path}").collect()
+    good = sorted((r.record_type, bytes(r.payload) if r.payload is not None else None) for r in rows if not r.error)
+    assert good == sorted([("warcinfo", b"software: x\r\n"), ("request", b"GET / HTTP/1.1\r\n\r\n"), ("metadata", b"a: b"), ("resource", b"\x00raw"), ("response", b"Wikipedia "), ("response", b"plain"), ("response", b"cut"), ("revisit", None)])
+    assert len([r for r in rows if r.error]) == 3
+    assert {r.payload_digest for r in rows if r.payload is not None} == {hashlib.sha256(bytes(r.payload)).hexdigest() for r in rows if r.payload is not None}
+
+
 def test_archives_are_bounded_and_ids_may_repeat(spark, tmp_path):
     """Null and repeated ids, one long payload, and archives that all start with the dictionary."""
     body = lambda i: hashlib.sha256(str(i).encode()).hexdigest() * 40
