@@ -125,7 +125,7 @@ def t4(spark, d):
 
     folder = f"{shared_folder(spark)}/made-{uuid.uuid4().hex}"
     rows = view(spark, d, "v_listing").select("path", C("size").cast("long").alias("size"), C("mtime").cast("double").alias("mtime"))
-    step = lambda df: df.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    step = lambda df: df.write.mode("append").parquet(f"{folder}/in")
     assess = lambda f: f.withColumns({"measured": L(True), "checks_json": L("[]")})
     found = None
     for n, part in enumerate((rows, rows.where("size % 2 = 0").withColumn("size", C("size") + 1))):

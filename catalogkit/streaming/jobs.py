@@ -180,17 +180,19 @@ class _Progress(StatefulProcessor):
 COMPACT = 16
 
 
-def _versions(spark, findings_path: str) -> tuple[int | None, list[int]]:
-    """The version that the findings were last folded into, and those written after it."""
+def _versions(spark, findings_path: str) -> tuple[int | None, list[int], list[int]]:
+    """The version that the findings were last folded into, those written after it, and those that the fold before it replaced."""
     log = spark.read.schema("version long, whole boolean").json(f"{findings_path}/log")
     rows = sorted((r["version"], r["whole"]) for r in log.distinct().collect())
-    base = max((v for v, whole in rows if whole), default=None)
-    return base, [v for v, whole in rows if not whole and (base is None or v > base)]
+    folds = [v for v, whole in rows if whole]
+    base, before = folds[-1] if folds else None, folds[-2] if len(folds) > 1 else -1
+    replaced = [v for v, _ in rows if base is not None and before <= v < base]
+    return base, [v for v, whole in rows if not whole and (base is None or v > base)], replaced
 
 
 def read_findings(spark, findings_path: str) -> DataFrame | None:
-    """T4: the findings as of the last batch: of each path the newest row; None before the first batch."""
-    base, later = _versions(spark, findings_path)
+    """T4: the findings as of the last batch: of each path the newest row, of rows of one batch the greatest; None before the first batch."""
+    base, later, _ = _versions(spark, findings_path)
     parts = [spark.read.parquet(f"{findings_path}/v{v}").withColumn("_version", F.lit(v)) for v in ([] if base is None else [base]) + later]
     if not parts:
         return None
@@ -198,7 +200,7 @@ def read_findings(spark, findings_path: str) -> DataFrame | None:
     for p in parts[1:]:
         rows = rows.unionByName(p, allowMissingColumns=True)
     columns = [c for c in rows.columns if c not in ("path", "_version")]
-    return rows.groupBy("path").agg(F.max_by(F.struct(*columns), "_version").alias("r")).select("path", "r.*")
+    return rows.groupBy("path").agg(F.max_by(F.struct(*columns), F.struct("_version", *columns)).alias("r")).select("path", "r.*")
 
 
 def continuous_audit(listing: DataFrame, findings_path: str, assess: Callable[[DataFrame], DataFrame], checkpoint: str):
@@ -206,8 +208,9 @@ def continuous_audit(listing: DataFrame, findings_path: str, assess: Callable[[D
 
     A batch writes its changed rows only, as a version of their own, and then
     names it in a log, so a failed batch leaves the findings as they were. After
-    COMPACT versions they are folded into one, and those before it are emptied.
-    ``read_findings`` gives the findings.
+    COMPACT versions they are folded into one. What a fold replaces is emptied
+    at the next fold, so a reader that began before it has COMPACT batches to
+    end. ``read_findings`` gives the findings.
     """
     log = f"{findings_path}/log"
     listing.sparkSession.createDataFrame([], "version long, whole boolean").write.mode("append").json(log)
@@ -217,7 +220,7 @@ def continuous_audit(listing: DataFrame, findings_path: str, assess: Callable[[D
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        base, later = _versions(spark, findings_path)
+        base, later, replaced = _versions(spark, findings_path)
         # even versions are changes, odd ones are folded
         version = 2 * epoch
         if max([-1 if base is None else base, *later]) >= version:  # a repeated batch is already in
@@ -229,7 +232,7 @@ def continuous_audit(listing: DataFrame, findings_path: str, assess: Callable[[D
         if len(later) + 1 >= COMPACT:
             read_findings(spark, findings_path).write.mode("overwrite").parquet(f"{findings_path}/v{version + 1}")
             named(spark, version + 1, True)
-            for old in [*later, version] + ([] if base is None else [base]):
+            for old in replaced:
                 spark.read.parquet(f"{findings_path}/v{version + 1}").limit(0).write.mode("overwrite").parquet(f"{findings_path}/v{old}")
 
     return listing.writeStream.option("checkpointLocation", checkpoint).foreachBatch(upsert).start()

@@ -225,14 +225,19 @@ def test_continuous_audit(spark, tmp_path, monkeypatch):
     assert seen == [2, 2]
     found = lambda: sorted((r.path, r.size) for r in jobs.read_findings(spark, str(tmp_path / "findings")).collect())
     assert found() == [("a", 1), ("b", 2), ("c", 1)]
-    # a version holds what changed, and folded versions are emptied
+    # a version holds what changed; what a fold replaced is emptied at the next one
     assert spark.read.parquet(str(tmp_path / "findings/v2")).count() == 2
     monkeypatch.setattr(jobs, "COMPACT", 3)
     step(rows(("d", 1, 1.0)))
     assert found() == [("a", 1), ("b", 2), ("c", 1), ("d", 1)]
-    assert [spark.read.parquet(str(tmp_path / f"findings/v{v}")).count() for v in (0, 2, 4, 5)] == [0, 0, 0, 4]
-    step(rows(("a", 9, 9.0)))
-    assert found() == [("a", 9), ("b", 2), ("c", 1), ("d", 1)]
+    held = lambda *versions: [spark.read.parquet(str(tmp_path / f"findings/v{v}")).count() for v in versions]
+    assert held(0, 2, 4, 5) == [2, 2, 1, 4]
+    # a reader that began before the fold still finds its versions
+    reader = jobs.read_findings(spark, str(tmp_path / "findings"))
+    for n in (9, 10, 11):
+        step(rows(("a", n, float(n))))
+        assert found() == [("a", n), ("b", 2), ("c", 1), ("d", 1)]
+    assert held(0, 2, 4, 5, 11) == [0, 0, 0, 4, 4] and reader.count() == 4
 
 
 def test_retry_timers(spark, tmp_path):
