@@ -273,7 +273,12 @@ w AS (SELECT k.key, n.tmdb, CASE WHEN k.key = n.key THEN 1048576 ELSE len(list_i
 t AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY shared DESC, tmdb) AS rank FROM w WHERE shared > 0)
 SELECT title_id, tmdb, CAST(shared AS BIGINT) AS shared, CAST(rank AS INT) AS rank FROM r JOIN t USING (key) WHERE rank <= 10""",
 )
-oracle("f32_trailing_drops", "SELECT file_id AS title_id, split_part(title, ' ', 1) AS name, CAST(year AS INT) AS year, CAST(1 AS INT) AS dropped FROM v_file")
+oracle(
+    "f32_trailing_drops",
+    """WITH n AS (SELECT file_id, year, string_split(title || CASE file_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' the third' WHEN 2 THEN ' of the old days' ELSE ' x' END, ' ') AS w FROM v_file), t AS (SELECT *, CASE WHEN file_id % 4 = 3 THEN list_concat(['The'], w) ELSE w END AS ws FROM n WHERE file_id % 5 <> 0),
+d AS (SELECT *, unnest(range(1, len(ws) // 2 + 1)) AS k FROM t)
+SELECT file_id AS title_id, array_to_string(ws[1:len(ws) - k], ' ') AS name, CAST(year AS INT) AS year, CAST(k AS INT) AS dropped FROM d WHERE lower(array_to_string(ws[1:len(ws) - k], ' ')) NOT IN ('the', 'a', 'an', '')""",
+)
 oracle(
     "p70_movie_ladder",
     """WITH r AS (SELECT name_id AS title_id, unnest([{'p': 0, 'r': 'embedded tag', 'i': false, 'n': 1}, CASE WHEN name_id % 6 = 1 THEN {'p': 2, 'r': 'folder ids', 'i': true, 'n': 0} END, {'p': 5, 'r': 'file name', 'i': false, 'n': 1}, {'p': 6, 'r': 'folder', 'i': false, 'n': CASE name_id % 6 WHEN 0 THEN 2 WHEN 5 THEN 3 ELSE 1 END}]) AS s FROM v_name)
@@ -355,11 +360,17 @@ def o8(spark, d):
     return resolve.top_k(_scored(spark, d), ["title_id"], [F.desc("score"), F.asc("tmdb")], 2).select("title_id", "tmdb", "rank")
 
 
-@query("a16_agreeing_rungs", "SELECT file_id AS title_id, CASE WHEN file_id % 2 = 0 THEN 'tag,folder ids' ELSE 'tag,folder ids' END AS rungs FROM v_file WHERE file_id % 7 <> 0 AND file_id % 5 <> 0")
+@query(
+    "a16_agreeing_rungs",
+    """SELECT title_id, rungs FROM (SELECT file_id AS title_id, CASE WHEN file_id % 3 <> 0 AND file_id % 4 <> 0 THEN CASE WHEN file_id % 5 <> 0 THEN 'tag,folder ids' END WHEN file_id % 3 <> 0 THEN 'tag' WHEN file_id % 4 <> 0 THEN 'folder ids' WHEN file_id % 2 = 0 THEN 'file name,folder' END AS rungs FROM v_file) WHERE rungs IS NOT NULL""",
+)
 def a16(spark, d):
-    from .queries import _rungs
-
-    return resolve.agreeing_rungs(_rungs(spark, d)).select("title_id", F.array_join("rungs", ",").alias("rungs"))
+    """Ids that agree, disagree, or are told by one rung only; names where no rung has ids."""
+    i, own, f = C("file_id"), C("tmdb"), files(spark, d)
+    rung = lambda place, name, by_id, tmdb, complete: f.select(i.alias("title_id"), L(place).alias("place"), L(name).alias("rung"), L(by_id).alias("by_id"), tmdb.alias("tmdb"), complete.alias("complete"))
+    rungs = rung(0, "tag", True, own, i % 3 != 0).unionByName(rung(1, "folder ids", True, F.when(i % 5 == 0, "x").otherwise(own), i % 4 != 0))
+    rungs = rungs.unionByName(rung(2, "file name", False, own, L(True))).unionByName(rung(3, "folder", False, F.when(i % 2 == 0, own).otherwise("y"), L(True)))
+    return resolve.agreeing_rungs(rungs).select("title_id", F.array_join("rungs", ",").alias("rungs"))
 
 
 @query("a25_hold_guesses", f"WITH {_SCORED}, g AS (SELECT title_id, string_agg(tmdb, ',' ORDER BY tmdb) AS g FROM s WHERE score = (SELECT max(score) FROM s x WHERE x.title_id = s.title_id) GROUP BY title_id) SELECT file_id AS title_id, CASE WHEN file_id % 3 = 0 THEN 'x,y' WHEN file_id % 3 = 1 THEN 'z' ELSE g END AS guesses FROM v_file JOIN g ON g.title_id = file_id")

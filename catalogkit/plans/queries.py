@@ -899,7 +899,10 @@ def j2(spark, d):
 
 @query("f32_trailing_drops")
 def f32(spark, d):
-    return resolve.trailing_drops(_files(spark, d).select(F.col("file_id").alias("title_id"), F.col("title").alias("name"), "year"))
+    i = F.col("file_id")
+    tail = F.when(i % 4 == 0, "").when(i % 4 == 1, " the third").when(i % 4 == 2, " of the old days").otherwise(" x")
+    name = F.concat(F.when(i % 4 == 3, "The ").otherwise(""), "title", tail)
+    return resolve.trailing_drops(_files(spark, d).select(i.alias("title_id"), name.alias("name"), F.when(i % 5 != 0, F.col("year")).cast("int").alias("year")))
 
 
 # Readiness and verification
