@@ -85,6 +85,14 @@ def _words(key: Column) -> Column:
 
 #: Names that a word may stand in before it counts as frequent.
 FREQUENT = 1000
+#: Frequent words of a set whose subsets are listed; larger sets meet word by word.
+LISTED = 12
+
+
+def subsets(words: Column) -> Column:
+    """Every subset of a sorted array of words but the empty one, as words in order, each after a blank."""
+    doubled = lambda acc, w: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.lit(" "), w)))
+    return F.filter(F.aggregate(words, F.array(F.lit("")), doubled), lambda s: s != "")
 
 
 def search_candidates(readings: DataFrame, names: DataFrame, k: int = SEARCH_LIMIT, frequent: int = FREQUENT) -> DataFrame:
@@ -92,10 +100,10 @@ def search_candidates(readings: DataFrame, names: DataFrame, k: int = SEARCH_LIM
 
     Every word counts, however frequent. Readings and names meet on words in at
     most ``frequent`` names; there all shared words are counted. Those that
-    share frequent words only meet by the distinct sets of such words, of which
-    there are few, and of entities with one set the first ``k`` stand for all:
-    no other can come before them. Equal keys come first, so no equal name is
-    lost.
+    share frequent words only meet by subsets of such words: of the entities
+    that hold a subset the first ``k`` stand for all, as no other can come
+    before them, so no set of words meets all sets that share a word with it.
+    Equal keys come first, so no equal name is lost.
     """
     keyed = names.select("tmdb", N.match_key(F.col("name")).alias("key")).distinct()
     wanted = readings.select("title_id", "name", N.match_key(F.col("name")).alias("key")).distinct()
@@ -112,11 +120,19 @@ def search_candidates(readings: DataFrame, names: DataFrame, k: int = SEARCH_LIM
     rare_keys, key_sets = told_apart(keys, "key", "own")
     rare_bags, bag_sets = told_apart(bags, "tmdb", "bag")
     by_rare = rare_keys.join(rare_bags, "word").select("tmdb", "key", F.size(F.array_intersect("own", "bag")).cast("long").alias("shared")).distinct()
-    of_set = top_k(bag_sets, ["set"], [F.asc("tmdb")], k).select("tmdb", F.col("set").alias("bag_set"))
-    left = key_sets.select("set").distinct().withColumn("word", F.explode("set"))
-    right = bag_sets.select(F.col("set").alias("bag_set")).distinct().withColumn("word", F.explode("bag_set"))
-    met = left.join(right, "word").groupBy("set", "bag_set").agg(F.count("*").alias("shared"))
-    by_set = key_sets.join(met, "set").join(of_set, "bag_set").select("tmdb", "key", "shared")
+    of_set = settle(top_k(bag_sets, ["set"], [F.asc("tmdb")], k).select("tmdb", F.col("set").alias("bag_set")))
+    sets = settle(key_sets.select("set").distinct())
+    held = of_set.where(F.size("bag_set") <= LISTED).select("tmdb", F.explode(subsets(F.col("bag_set"))).alias("part"))
+    held = top_k(held, ["part"], [F.asc("tmdb")], k).drop("rank")
+    asked = sets.where(F.size("set") <= LISTED).select("set", F.explode(subsets(F.col("set"))).alias("part"))
+    met = asked.join(held, "part").groupBy("set", "tmdb").agg(F.max(F.size(F.split(F.ltrim("part"), " "))).cast("long").alias("shared"))
+    # sets of very many frequent words, on either side
+    by_word = lambda df, name: df.withColumn("word", F.explode(name))
+    bags_of = of_set.select("bag_set").distinct()
+    large = by_word(sets.where(F.size("set") > LISTED), "set").join(by_word(bags_of, "bag_set"), "word")
+    large = large.unionByName(by_word(sets.where(F.size("set") <= LISTED), "set").join(by_word(bags_of.where(F.size("bag_set") > LISTED), "bag_set"), "word"))
+    large = large.groupBy("set", "bag_set").agg(F.count("*").alias("shared")).join(of_set, "bag_set").select("set", "tmdb", "shared")
+    by_set = key_sets.join(met.unionByName(large), "set").select("tmdb", "key", "shared")
     equal = top_k(keyed, ["key"], [F.asc("tmdb")], k).select("tmdb", "key", F.lit(1 << 20).cast("long").alias("shared"))
     found = by_rare.unionByName(by_set).unionByName(keys.join(equal, "key").select("tmdb", "key", "shared"))
     best = top_k(found.groupBy("key", "tmdb").agg(F.max("shared").alias("shared")), ["key"], [F.desc("shared"), F.asc("tmdb")], k)

@@ -130,3 +130,25 @@ def test_one_word_in_all_names(spark):
     began = time.time()
     got = resolve.scored_candidates(readings, names)
     assert got.where("cast(title_id as string) = tmdb").count() == 2000 and time.time() - began < 240
+
+
+def test_many_sets_that_share_a_word(spark, monkeypatch):
+    """100,000 distinct sets of frequent words that share one word; sets beyond LISTED words give the same."""
+    names = spark.range(100_000).selectExpr("cast(id as string) as tmdb", "concat('harbour w', id % 300, ' v', id div 300) as name")
+    readings = spark.range(0, 100_000, 97).selectExpr("id as title_id", "concat('v', id div 300, ' harbour w', (id + 1) % 300) as name")
+    got = {}
+    for r in resolve.search_candidates(readings, names, frequent=100).collect():
+        got.setdefault(r.title_id, []).append((r["rank"], r.tmdb, r.shared))
+    assert len(got) == 1031
+    for i in (0, 97, 9700, 99_910):
+        w, v = (i + 1) % 300, i // 300
+        both = [n for n in (v * 300 + w,) if n < 100_000]
+        two = sorted({str(n) for n in range(w, 100_000, 300)} | {str(n) for n in range(v * 300, min(v * 300 + 300, 100_000))} - {str(n) for n in both})
+        want = [(str(n), 3) for n in both] + [(n, 2) for n in two if n not in map(str, both)]
+        assert [(t, s) for _, t, s in sorted(got[i])] == want[:10], i
+    few = names.where("cast(tmdb as int) % 500 = 0")
+    some = readings.where("title_id < 5000")
+    rows = lambda: sorted(map(tuple, resolve.search_candidates(some, few, frequent=3).collect()))
+    listed = rows()
+    monkeypatch.setattr(resolve, "LISTED", 2)
+    assert rows() == listed != []
