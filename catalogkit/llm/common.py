@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A dimension table is broadcast only when it was counted and has at most this many rows.
 BROADCAST_ROWS = 50_000
+#: Bytes of such a table where its rows have no size of their own.
+BROADCAST_BYTES = 32 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -61,6 +63,18 @@ def small_or_not(dim: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(dim) if n <= BROADCAST_ROWS else dim
 
 
+def is_small(dim: DataFrame) -> bool:
+    """Whether ``dim``, counted, has at most BROADCAST_ROWS rows and, written out, BROADCAST_BYTES bytes."""
+    written_out = F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))
+    seen = dim.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), written_out.alias("bytes")).first()
+    return seen["n"] <= BROADCAST_ROWS and (seen["bytes"] or 0) <= BROADCAST_BYTES
+
+
+def bounded(dim: DataFrame) -> DataFrame:
+    """``dim`` with a broadcast hint if ``is_small``, for rows that hold lists or long texts; else it is joined by a shuffle."""
+    return F.broadcast(dim) if is_small(dim) else dim
+
+
 def lower_ascii(c):
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, UPPER.lower())

@@ -12,8 +12,8 @@ words stand, in any text.
 Texts are read where Spark reads them: once for the entities, once for the
 counts of words that stand near some, once for the rows that hold a revealing
 word. Only narrow rows are shuffled. The texts of rows with revealing words meet
-those words by a broadcast of counted size, beyond which texts are shuffled
-once.
+those words by a broadcast of counted rows and bytes, beyond which texts are
+shuffled once.
 
 Offsets come from the lengths of matches and of the texts between them, summed
 in blocks of about the square root of their number, in the row itself.
@@ -189,8 +189,7 @@ def revealing(docs: DataFrame, found: DataFrame, policy: Policy = Policy()) -> D
     held = found.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("held"))
     listed = common.cut(joint.select("term").distinct())
     said = _keyed(docs).select(F.explode(terms_of(word_list(common.lower_ascii(F.col("text")), policy), policy)).alias("term"))
-    n_listed = listed.count()
-    if n_listed <= common.BROADCAST_ROWS:
+    if common.is_small(listed):
         said = said.join(F.broadcast(listed), "term", "left_semi").groupBy("term").agg(F.count("*").alias("said"))
     else:  # counts are far fewer than words, so they meet the list
         said = said.groupBy("term").agg(F.count("*").alias("said")).join(listed, "term", "left_semi")
@@ -207,14 +206,14 @@ def scan(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Per row: doc_id, mark (of its text) and spans (kind, start, end), entities by kind and then words, each by start."""
     keyed = _keyed(docs)
     found = common.written(keyed.select("doc_id", "mark", entities(F.col("text"), policy).alias("base")))
-    words = common.small_or_not(revealing(docs, found, policy))
+    words = common.bounded(revealing(docs, found, policy))
     here = keyed.select("doc_id", "mark", F.explode(F.array_distinct(word_list(common.lower_ascii(F.col("text")), policy))).alias("word")).join(words, "word")
     lists = [F.array_sort(F.collect_set(F.when(F.col("how") == how, F.col("word")))).alias(how) for how in (GENERAL, REMOVE)]
     hits = here.groupBy("doc_id", "mark").agg(*lists).select(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"), GENERAL, REMOVE)
     base = found.select("doc_id", "mark", F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
     hits = common.cut(hits)
-    of_hit = base.join(common.small_or_not(hits), _same()).groupBy("own_id", "own_mark").agg(F.first("base").alias("taken"), F.first(GENERAL).alias(GENERAL), F.first(REMOVE).alias(REMOVE))
-    with_text = keyed.join(common.small_or_not(common.cut(of_hit)), _same())
+    of_hit = base.join(common.bounded(hits), _same()).groupBy("own_id", "own_mark").agg(F.first("base").alias("taken"), F.first(GENERAL).alias(GENERAL), F.first(REMOVE).alias(REMOVE))
+    with_text = keyed.join(common.bounded(common.cut(of_hit)), _same())
 
     def spans(how: str) -> Column:
         pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(how, "|"), F.lit(r")(?!\p{L})"))
@@ -223,7 +222,7 @@ def scan(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
         return F.when(F.size(how) > 0, rows).otherwise(F.array().cast("array<struct<kind:string,start:long,end:long>>"))
 
     more = with_text.select("own_id", "own_mark", F.concat(spans(GENERAL), spans(REMOVE)).alias("more")).groupBy("own_id", "own_mark").agg(F.first("more").alias("more"))
-    out = base.join(common.small_or_not(common.cut(more)), _same(), "left")
+    out = base.join(common.bounded(common.cut(more)), _same(), "left")
     return out.select("doc_id", "mark", F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:string,start:long,end:long>>"))).alias("spans"))
 
 
@@ -250,7 +249,7 @@ def sanitise(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
         begun = F.struct(F.lit(0).cast("long").alias("done"), F.array().cast("array<string>").alias("out"))
         return F.aggregate(ordered, begun, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["done"] + 1).cast("int"), F.length(text))))
 
-    out = rows.join(common.small_or_not(once), own, "left")
+    out = rows.join(common.bounded(once), own, "left")
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(replaced(F.col("row.text"), F.col("spans")))
     return out.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
