@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VIEWS: dict[str, str] = {
     "v_file": """
@@ -115,6 +116,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_TABLE.sub("FROM {source}", VIEWS[name]), source=table)
 
 
+def placed_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view with ``position``, the file and row that each of its rows comes from; for rows that nothing else orders."""
+    found = _TABLE.search(VIEWS[name])
+    source = F.struct("_metadata.file_path", "_metadata.row_index").alias("position")
+    table = spark.read.parquet(f"{sf_dir}/{found[1]}.parquet").select("*", source)
+    return spark.sql(_TABLE.sub(", position FROM {source}", VIEWS[name]), source=table)
+
+
 def with_views(sql: str) -> str:
     """``sql`` with the views it names in front, as common table expressions."""
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]

@@ -12,7 +12,7 @@ from ..functions.vocabulary import Vocabulary
 from ..operators import audit, compare, crops, episodes, resolve, rules, standards, state, tracks, verify
 from ..sources import readers
 from ..streaming import jobs
-from .adapters import view
+from .adapters import placed_view, view
 from .base import CLASS, EFFICIENCY, KEPT, NAMED, ORACLES, QUERIES, WEIGHTED, query
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -288,7 +288,7 @@ def w8(spark, d):
 
 @query("w15_primary_video", "SELECT file_id, min(track_no) AS track_no, coalesce(arg_min(coalesce(language, '?'), track_no), 'und') AS video_language FROM v_track WHERE type = 'video' GROUP BY file_id")
 def w15(spark, d):
-    t = view(spark, d, "v_track").withColumn("language", F.coalesce("language", F.lit("?")))
+    t = placed_view(spark, d, "v_track").withColumn("language", F.coalesce("language", F.lit("?")))
     return tracks.primary_video(t)
 
 

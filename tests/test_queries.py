@@ -57,3 +57,19 @@ def test_flagship_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["w15_primary_video"])
+def test_tracks_with_one_number(spark, tmp_path, name):
+    """Of video tracks with one number SQL takes the first of the table, not the last and not by language."""
+    c = duckdb.connect()
+    c.sql("SET threads = 1")
+    c.sql(f"COPY (SELECT i AS p_partkey, 'x' AS p_name, 'Brand#1' AS p_brand, 'y' AS p_type, 1 AS p_size FROM range(500) t(i)) TO '{tmp_path}/part.parquet'")
+    row = "i // 2000 AS l_orderkey, i % 500 AS l_partkey, (hash(i) % 1000)::BIGINT AS l_suppkey, 7 AS l_linenumber, 1.0::DOUBLE AS l_quantity, 'R' AS l_returnflag, 'F' AS l_linestatus"
+    c.sql(f"COPY (SELECT {row} FROM range(6000) t(i)) TO '{tmp_path}/lineitem.parquet'")
+    for t in ("part", "lineitem"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = Q.QUERIES[name](spark, str(tmp_path))
+    got = df.select(*sorted(df.columns)).collect()
+    want = c.sql(f"SELECT {', '.join(sorted(df.columns))} FROM ({Q.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) == 500
