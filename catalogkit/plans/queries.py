@@ -587,7 +587,7 @@ def j20(spark, d):
 @query("p28_track_checks")
 def p28(spark, d):
     t = view(spark, d, "v_track")
-    c = tracks.track_counters(t).join(tracks.foreign_languages(t), "file_id").join(tracks.primary_video(t).select("file_id", "video_language"), "file_id", "left")
+    c = tracks.track_counters(t).join(tracks.foreign_languages(t), "file_id").join(tracks.primary_video(placed_view(spark, d, "v_track")).select("file_id", "video_language"), "file_id", "left")
     files = _files(spark, d).select("file_id", F.when(F.col("file_id") % 3 == 0, "avi").otherwise("matroska,webm").alias("format_name"))
     out = audit.audit_track_checks(files, c)
     return out.select("file_id", audit.check_summary(F.col("checks")).alias("summary"), F.size(audit.failed_checks(F.col("checks"))).alias("n_failed"))

@@ -59,7 +59,7 @@ def test_flagship_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["w15_primary_video"])
+@pytest.mark.parametrize("name", ["w15_primary_video", "p28_track_checks"])
 def test_tracks_with_one_number(spark, tmp_path, name):
     """Of video tracks with one number SQL takes the first of the table, not the last and not by language."""
     c = duckdb.connect()
