@@ -126,9 +126,27 @@ def _least_shared(total: Column, cutoff: float) -> Column:
     return F.ceil(total * (1.5 * cutoff - 1) - 1 - 1e-9)
 
 
+#: Words of 64 bits in which a text's letter pairs are marked.
+MARKS = 4
+
+
+def _with_marks(rows: DataFrame) -> DataFrame:
+    """``rows`` with a bit for each of a text's letter pairs (``all``), by hash, in m0, m1, ..., and how many pairs share a bit with another (``spare``)."""
+    bits = F.array_distinct(F.transform("all", lambda p: F.pmod(F.xxhash64(p), F.lit(64 * MARKS))))
+    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(64)).cast("int"))
+    word = lambda at: F.aggregate(F.filter("bits", lambda b: F.floor(b / 64) == at), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(one(b)))
+    return rows.withColumn("bits", bits).withColumns({**{f"m{at}": word(at) for at in range(MARKS)}, "spare": F.size("all") - F.size("bits")}).drop("bits")
+
+
+def _most_shared() -> Column:
+    """The most letter pairs that a probe and a key can share, by their marks."""
+    both = [F.bit_count(F.col(f"p_m{at}").bitwiseAND(F.col(f"m{at}"))) for at in range(MARKS)]
+    return sum(both, F.least("p_spare", "spare"))
+
+
 def _prefixes(rows: DataFrame, counts: DataFrame, name: str, cutoff: float) -> DataFrame:
-    """(show, ``name``, pair, all, first): a row for each of the ``first`` rarest letter pairs of a text, enough to meet any
-    similar text; ``all`` are its pairs, rarest first."""
+    """A row (show, ``name``, pair, all, first, size, marks) for each of the ``first`` rarest letter pairs of a text, enough to
+    meet any similar text; ``all`` are its pairs, rarest first."""
     size = F.length(name)
     pairs = rows.select("show", name, F.explode(_letter_pairs(F.col(name))).alias("pair")).join(counts, ["show", "pair"], "left")
     ranked = pairs.groupBy("show", name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair"))).alias("pairs"))
@@ -136,9 +154,10 @@ def _prefixes(rows: DataFrame, counts: DataFrame, name: str, cutoff: float) -> D
     least = _least_shared(size + F.ceil(size * cutoff / (2 - cutoff) - 1e-9), cutoff)
     first = F.greatest(F.size("pairs") - F.greatest(least, F.lit(0)) + 1, F.lit(1)).cast("int")
     listed = ranked.select("show", name, F.transform("pairs", lambda p: p["pair"]).alias("all"), first.alias("first"), least.alias("least"))
+    listed = _with_marks(listed.withColumn("size", size))
     # texts so short that they need not share a pair meet under a mark of their own
     short = F.when(F.col("least") <= 0, F.array(F.lit(_SHORT))).otherwise(F.array().cast("array<string>"))
-    return listed.select("show", name, "all", "first", F.explode(F.concat(F.slice("all", F.lit(1), F.col("first")), short)).alias("pair"))
+    return listed.select("show", name, "all", "first", "size", "spare", *[f"m{at}" for at in range(MARKS)], F.explode(F.concat(F.slice("all", F.lit(1), F.col("first")), short)).alias("pair"))
 
 
 _SHORT = "short"
@@ -150,23 +169,23 @@ def fuzzy_pairs(probes: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
     Texts meet on their rarest letter pairs, so a show's titles are not paired
     out and a large show is spread over its letter pairs. Two texts that meet on
     several are kept where they meet on the rarest, so nothing is told apart
-    afterwards; lengths and the count of shared pairs leave few to be compared.
+    afterwards; lengths, the marks of their letter pairs (a bound in a few machine
+    words) and the count of shared pairs leave few to be compared.
     """
     probes, keys = settle(probes.select("show", "p_key").distinct()), settle(keys.select("show", "key").distinct())
     if cutoff < BLOCKED:
         return probes.join(keys, "show").where(H.similarity_bound(F.col("p_key"), F.col("key")) >= cutoff)
     counts = settle(keys.select("show", F.explode(_letter_pairs(F.col("key"))).alias("pair")).groupBy("show", "pair").agg(F.count("*").alias("n")))
     left, right = _prefixes(probes, counts, "p_key", cutoff), _prefixes(keys, counts, "key", cutoff)
-    met = left.withColumnsRenamed({"all": "p_all", "first": "p_first"}).join(right, ["show", "pair"])
-    met = met.where(H.similarity_bound(F.col("p_key"), F.col("key")) >= cutoff)
-    least = _least_shared(F.length("p_key") + F.length("key"), cutoff)
-
-    def kept(shared: Column) -> Column:
-        rarest = F.try_element_at(shared, F.lit(1))
-        meets = F.coalesce((F.array_position("p_all", rarest) <= F.col("p_first")) & (F.array_position("all", rarest) <= F.col("first")), F.lit(False))
-        return (F.size(shared) >= least) & F.when(F.col("pair") == _SHORT, ~meets).otherwise(rarest == F.col("pair"))
-
-    return met.where(N.let(F.array_intersect("p_all", "all"), kept)).select("show", "p_key", "key")
+    met = left.withColumnsRenamed({c: f"p_{c}" for c in left.columns if c not in ("show", "p_key", "pair")}).join(right, ["show", "pair"])
+    total = F.col("p_size") + F.col("size")
+    least = _least_shared(total, cutoff)
+    met = met.where((2 * F.least("p_size", "size") >= cutoff * total - 1e-9) & (_most_shared() >= least))
+    shared = F.array_intersect("p_all", "all")
+    rarest = F.try_element_at(shared, F.lit(1))
+    meets = F.coalesce((F.array_position("p_all", rarest) <= F.col("p_first")) & (F.array_position("all", rarest) <= F.col("first")), F.lit(False))
+    kept = (F.size(shared) >= least) & F.when(F.col("pair") == _SHORT, ~meets).otherwise(rarest == F.col("pair"))
+    return met.where(kept).select("show", "p_key", "key")
 
 
 def match_fuzzy(probes: DataFrame, catalogue: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:

@@ -240,7 +240,8 @@ def scored_candidates(readings: DataFrame, names: DataFrame | Searchable, k: int
     holds = scored(wanted.join(top_k(runs.distinct(), ["key", "entity_year"], [F.asc("tmdb")], k), "key"), CONTAINED_SCORE)
     # names that are similar
     whole = F.lit("").alias("show")
-    pairs = fuzzy_pairs(keys.select(whole, F.col("key").alias("p_key")), told.rows.where("key <> ''").select(whole, "key").distinct(), cutoff)
+    # settled, else what follows is asked of every meeting, before its marks are
+    pairs = settle(fuzzy_pairs(keys.select(whole, F.col("key").alias("p_key")), told.rows.where("key <> ''").select(whole, "key").distinct(), cutoff))
     spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     near = pairs.where(~F.contains(spaced("key"), spaced("p_key"))).withColumn("score", H.similarity(F.col("p_key"), F.col("key"))).where(F.col("score") >= cutoff)
     near = near.join(of_key, "key").join(wanted.select("wanted", F.col("key").alias("p_key")), "p_key").select("wanted", "tmdb", "entity_year", "score")

@@ -309,7 +309,9 @@ def j30(spark, d):
     f = files(spark, d)
     names = f.select("tmdb", _word_name(i).alias("name"))
     reads = f.select(i.alias("title_id"), F.concat(F.when(i % 3 == 1, "zqzqzqzqzqzqzqzqzqzq ").otherwise(""), _word_name(i), F.when(i % 3 == 2, " kkkkkkkkkkkk vvvvvvvvvvvv").otherwise("")).alias("name"), C("year").cast("int").alias("year"))
-    known = spark.read.parquet(f"{d}/region.parquet").select(F.explode(F.array(L("kkkkkkkkkkkk"), L("vvvvvvvvvvvv"), F.lower("r_name"))).alias("word")).distinct()
+    known = spark.read.parquet(f"{d}/region.parquet").select(F.explode(F.array(L("kkkkkkkkkkkk"), L("vvvvvvvvvvvv"), F.lower("r_name"))).alias("word"))
+    # the names' own words are words, also where a hash has letters only
+    known = known.unionByName(names.select(F.explode(F.split("name", " ")).alias("word"))).distinct()
     return resolve.search_with_retries(reads, names, known).select("title_id", "tmdb", C("step").cast("long").alias("step"), "wanted")
 
 

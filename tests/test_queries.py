@@ -73,3 +73,13 @@ def test_tracks_with_one_number(spark, tmp_path, name):
     got = df.select(*sorted(df.columns)).collect()
     want = c.sql(f"SELECT {', '.join(sorted(df.columns))} FROM ({Q.ORACLES[name]})").fetchall()
     assert sorted(map(tuple, got)) == sorted(want) and len(got) == 500
+
+
+def test_search_for_words_of_letters(spark, tmp_path):
+    """Hashes that have letters only are words of the list; files of the sf0.1 table where one was dropped as an abbreviation."""
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT unnest([15007, 16822, 16528, 3, 4, 5])::BIGINT AS p_partkey, 'x' AS p_name, 'Brand#1' AS p_brand, 'y' AS p_type, 1 AS p_size) TO '{tmp_path}/part.parquet'")
+    c.sql(f"COPY (SELECT 'ASIA' AS r_name) TO '{tmp_path}/region.parquet'")
+    c.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    df = Q.QUERIES["j30_search_with_retries"](spark, str(tmp_path)).select("title_id", "tmdb", "step", "wanted")
+    assert sorted(map(tuple, df.collect())) == sorted(c.sql(f"SELECT title_id, tmdb, step, wanted FROM ({Q.ORACLES['j30_search_with_retries']})").fetchall())

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalogkit.operators import resolve
+from catalogkit.operators.episodes import fuzzy_pairs
 
 
 def norm(s):
@@ -152,3 +153,18 @@ def test_many_sets_that_share_a_word(spark, monkeypatch):
     listed = rows()
     monkeypatch.setattr(resolve, "LISTED", 2)
     assert rows() == listed != []
+
+
+def test_similar_names_of_few_letters(spark):
+    """20,000 names of hexadecimal digits share most letter pairs with many others; their marks leave few to compare, and lose none."""
+    word = F.md5(F.col("id").cast("string"))
+    names = spark.range(20_000).select(F.lit("").alias("show"), F.concat(F.substring(word, 1, 8), F.lit(" "), F.substring(word, 9, 8)).alias("key"))
+    probes = names.select("show", F.translate("key", "0", "1").alias("p_key"))
+    began = time.time()
+    got = fuzzy_pairs(probes, names, 0.82)
+    assert got.count() > 20_000 and time.time() - began < 90
+    few = [r.key for r in names.limit(300).collect()]
+    asked = [k.replace("0", "1") for k in few] + [k[:7] + k[9:] for k in few[:50]]
+    frame = lambda rows, name: spark.createDataFrame([("", r) for r in rows], f"show string, {name} string")
+    met = {(r.p_key, r.key) for r in fuzzy_pairs(frame(asked, "p_key"), frame(few, "key"), 0.82).collect()}
+    assert {(p, k) for p in asked for k in few if difflib.SequenceMatcher(None, p, k).ratio() >= 0.82} <= met
