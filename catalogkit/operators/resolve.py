@@ -534,10 +534,20 @@ def movie_incumbents(identities: DataFrame, folders: DataFrame, files: DataFrame
     return by_id.unionByName(by_name).join(pick_file(files), "folder", "left").select("title_id", "folder", "by", F.col("name").alias("file"))
 
 
+def episode_codes(name: Column) -> Column:
+    """Every text in a name that may be an episode's code: SxxEyy or SxxEyy-Ezz, and what starts one, as a code may go on in longer numbers."""
+    found = F.regexp_extract_all(F.upper(name), F.lit(r"(S-?\d+E-?\d+(?:-E-?\d+)?)"), F.lit(1))
+    # no code is shorter than S01E01 or longer than three whole numbers
+    starts = lambda m: F.transform(F.sequence(F.lit(6), F.least(F.greatest(F.length(m), F.lit(6)), F.lit(40))), lambda n: F.left(m, n))
+    return F.array_distinct(F.flatten(F.transform(found, starts)))
+
+
 def tv_incumbents(identities: DataFrame, folders: DataFrame, files: DataFrame) -> DataFrame:
     """The file that an episode (title_id, show, show_year, tvdb, tmdb, season, episode, episode_last) already has.
 
     ``files``: folder (of the show), season, name. A range's code comes before the single one.
+    Of the files of a season the first by name with each code stands for all, so
+    that episodes meet codes and no season is paired out.
     """
     f = folders.withColumn("ids", N.ids_from_name(F.col("folder"))).select("folder", F.col("ids.tvdb").alias("f_tvdb"), F.col("ids.tmdb").alias("f_tmdb"))
     by_id = identities.join(f, F.col("tvdb") == F.col("f_tvdb")).unionByName(identities.join(f, (F.col("tmdb") == F.col("f_tmdb")) & ~F.coalesce(F.col("tvdb") != F.col("f_tvdb"), F.lit(False))))
@@ -546,12 +556,12 @@ def tv_incumbents(identities: DataFrame, folders: DataFrame, files: DataFrame) -
     named = identities.withColumn("key", key).join(prefixes, "key").where(~F.coalesce(F.col("tvdb") != F.col("f_tvdb"), F.lit(False)))
     ranked = by_id.select("title_id", "folder", F.lit(0).alias("r")).unionByName(named.select("title_id", "folder", F.lit(1).alias("r")))
     chosen = ranked.groupBy("title_id").agg(F.min(F.struct("r", "folder")).alias("c")).select("title_id", "c.folder")
-    inside = identities.join(chosen, "title_id").join(files, ["folder", "season"])
     single = N.episode_code(F.col("season"), F.col("episode"))
     whole = N.episode_code(F.col("season"), F.col("episode"), F.col("episode_last"))
-    rank = F.when(F.contains(F.upper("name"), whole), 0).when(F.contains(F.upper("name"), single), 1)
-    hits = inside.withColumn("rank", rank).where("rank is not null")
-    best = hits.groupBy("title_id").agg(F.min(F.struct("rank", "name")).alias("b"))
+    codes = F.array(F.struct(F.lit(0).alias("rank"), whole.alias("code")), F.struct(F.lit(1).alias("rank"), single.alias("code")))
+    asked = identities.join(chosen, "title_id").select("title_id", "folder", "season", F.inline(codes))
+    first = files.select("folder", "season", "name", F.explode(episode_codes(F.col("name"))).alias("code")).groupBy("folder", "season", "code").agg(F.min("name").alias("name"))
+    best = asked.join(first, ["folder", "season", "code"]).groupBy("title_id").agg(F.min(F.struct("rank", "name")).alias("b"))
     return chosen.join(best, "title_id", "left").select("title_id", "folder", F.col("b.name").alias("file"))
 
 

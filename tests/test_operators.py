@@ -343,3 +343,24 @@ def test_fuzzy_equals_brute_force(spark):
                 k = max(near)[1]
                 want[i] = (options[k], round(difflib.SequenceMatcher(None, key(text), k).ratio(), 6))
         assert got == want
+
+
+def test_incumbents_by_code(spark):
+    """Codes are found anywhere in a name, also in longer numbers and either case; a range comes first."""
+    schema = "title_id int, show string, show_year int, tvdb string, tmdb string, season int, episode int, episode_last int"
+    rows = [(1, 1, 2, None), (2, 1, 2, 3), (3, 1, 12, None), (4, 2, 5, 6), (5, 1, 99, None), (6, 1, None, None), (7, 100, 1, None), (8, 1, 2, 2)]
+    ids = spark.createDataFrame([(i, "Show", 1999, "7", None, *r) for i, *r in rows], schema)
+    names = [(1, "b s01e02.mkv"), (1, "c S01E02-E03.mkv"), (1, "a xS01E0212 y.mkv"), (2, "S02E05-E06.mkv"), (2, "A S02E05.mkv"), (2, "S01E99.mkv"), (100, "S100E01 S100E02"), (1, "S01E12"), (1, "S1E99"), (None, "S01E99")]
+    files = spark.createDataFrame([("Show (1999) [tvdbid-7]", *n) for n in names], "folder string, season int, name string")
+    got = {r.title_id: r.file for r in resolve.tv_incumbents(ids, files.select("folder").distinct(), files).collect()}
+    assert got == {1: "a xS01E0212 y.mkv", 2: "c S01E02-E03.mkv", 3: "S01E12", 4: "S02E05-E06.mkv", 5: None, 6: None, 7: "S100E01 S100E02", 8: "a xS01E0212 y.mkv"}
+
+
+def test_incumbents_of_a_large_season(spark):
+    """60,000 episodes and 60,000 files of one season are not paired out."""
+    rows = spark.range(60_000)
+    ids = rows.select(F.col("id").alias("title_id"), F.lit("Show").alias("show"), F.lit(1999).alias("show_year"), F.lit("7").alias("tvdb"), F.lit(None).cast("string").alias("tmdb"), F.lit(1).alias("season"), (F.col("id") % 50).cast("int").alias("episode"), F.lit(None).cast("int").alias("episode_last"))
+    files = rows.select(F.lit("Show (1999) [tvdbid-7]").alias("folder"), F.lit(1).alias("season"), F.format_string("S01E%02d - %05d.mkv", F.col("id") % 50, F.col("id")).alias("name"))
+    began = time.time()
+    out = resolve.tv_incumbents(ids, files.select("folder").distinct(), files)
+    assert out.where(F.col("file") == F.format_string("S01E%02d - %05d.mkv", F.col("title_id") % 50, F.col("title_id") % 50)).count() == 60_000 and time.time() - began < 60
