@@ -168,3 +168,16 @@ def test_similar_names_of_few_letters(spark):
     frame = lambda rows, name: spark.createDataFrame([("", r) for r in rows], f"show string, {name} string")
     met = {(r.p_key, r.key) for r in fuzzy_pairs(frame(asked, "p_key"), frame(few, "key"), 0.82).collect()}
     assert {(p, k) for p in asked for k in few if difflib.SequenceMatcher(None, p, k).ratio() >= 0.82} <= met
+
+
+def test_candidate_score_shuffles_little(spark):
+    """Scores equal those of each pair by itself, also for entities that are spread; names are shuffled once, readings twice."""
+    pairs = spark.createDataFrame([(i, ["Lost Harbour", "LH", "Harbour Lots", "Night"][i % 4], str(i % 3)) for i in range(60)] + [(60, None, "0"), (61, "x", "9"), (62, "x", None), (None, "LH", "1"), (3, "Night", "0")], "title_id int, wanted string, tmdb string")
+    names = spark.createDataFrame([("0", "The Lost Harbour"), ("0", None), ("1", "Lost Harbor"), ("1", "Lost Harbor"), ("1", "Tales of the Lost Harbour"), ("2", "Night"), ("4", "LH")], "tmdb string, name string")
+    each = resolve.pair_scores(pairs.join(names.where("name is not null"), "tmdb").where("wanted is not null")).groupBy("title_id", "wanted", "tmdb").agg(F.max("score").alias("score"))
+    want = sorted(map(repr, map(tuple, each.collect())))
+    for hot in (100_000, 5):
+        out = resolve.candidate_score(pairs, names, hot)
+        assert sorted(map(repr, map(tuple, out.collect()))) == want
+    plan = resolve.candidate_score(pairs, names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
